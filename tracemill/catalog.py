@@ -1,0 +1,6 @@
+"""Every registered query of the engine by name, with its DuckDB SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
