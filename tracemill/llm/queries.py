@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP6_SQL, op6_decontamination
+from .lines import op5_line_dedup
 from .quality import op8_compression_bands
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op1_toxicity
@@ -13,7 +15,9 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op8_compression_bands": op8_compression_bands,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
