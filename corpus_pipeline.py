@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import simhash, toxicity
+from tracemill.llm import decontaminate, lines, mixing, simhash, toxicity
 from tracemill.llm.common import saved, table
 
 
@@ -14,14 +14,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, machine)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without the lines that stand, or nearly stand, in an earlier place."""
+    return lines.without_repeats(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.near_dedup(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, taken in passes by source so that token budgets follow the tempered shares."""
+    return mixing.mix(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
     ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
 ]
 
 ORACLE_SQL = None

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP6_SQL, op6_decontamination
 from .lines import op5_line_dedup
+from .mixing import op2_temperature_mixing
 from .quality import op8_compression_bands
 from .simhash import op4_simhash_near_dedup
+from .suffixes import op3_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_temperature_mixing": op2_temperature_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
