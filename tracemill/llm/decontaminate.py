@@ -16,7 +16,8 @@ from .common import LOWER, UPPER, only, saved, table
 WINDOW, SHINGLE = 10, 3
 #: Distinct benchmark shingles up to which their table is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, and a word before A-Z are lower-cased.
+GAP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -42,45 +43,56 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.distinct()
 
 
+#: Stands for a null doc_id; rows are told apart by their id and a hash of their text.
+NO_ID = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(d, t, text) of every row."""
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
+    return whole.select("d", F.xxhash64("text").alias("t"), "text")
+
+
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, item_id): every place where a window of an item stands in a document."""
+    """(d, t, start, length, item_id): every place where a window of an item stands in a document."""
     wins = saved(item_windows(items, window))
     lone = wins.select("w").distinct().select("w", F.size("w").alias("length"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"))
     # A window has three-word shingles unless it is shorter than that: at most three sizes, whatever the benchmark is.
-    sizes = [r["size"] for r in lone.select("size").distinct().orderBy("size").limit(SHINGLE).collect()]
-    if not sizes:
-        sizes = [SHINGLE]
+    sizes = [r["size"] for r in lone.select("size").distinct().orderBy("size").limit(SHINGLE).collect()] or [SHINGLE]
     own = lone.select("w", "length", F.explode(shingles("w", sizes)).alias("s"), "size").where("s.size = size").select("w", "length", F.posexplode("s.hs").alias("offset", "h"))
     own = saved(own)
     wanted = own.select("h").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = F.broadcast(wanted) if few else wanted
-    texts = only(docs, doc_id="bigint", text="string").select("doc_id", words(F.col("text")).alias("ws"))
-    spots = texts.select("doc_id", F.explode(shingles("ws", sizes)).alias("s")).select("doc_id", F.posexplode("s.hs").alias("pos", "h"))
+    texts = keyed(docs)
+    spots = texts.select("d", "t", words(F.col("text")).alias("ws")).select("d", "t", F.explode(shingles("ws", sizes)).alias("s")).select("d", "t", F.posexplode("s.hs").alias("pos", "h"))
     found = saved(spots.join(wanted, "h", "left_semi"))
     seen = found.groupBy("h").agg(F.count("*").alias("n"))
     # The prefix: of each window's shingles the rarest in the corpus; one that the corpus lacks rules the window out.
     counted = own.join(seen, "h", "left").select("w", "length", "offset", "h", F.coalesce("n", F.lit(0)).alias("n"))
     prefix = counted.groupBy("w", "length").agg(F.min(F.struct("n", "h", "offset")).alias("p")).where("p.n > 0").select("w", "length", F.col("p.h").alias("h"), F.col("p.offset").alias("offset"))
-    near = found.join(F.broadcast(prefix) if few else prefix, "h").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "length", "w").where("start >= 0").distinct()
+    near = found.join(F.broadcast(prefix) if few else prefix, "h").select("d", "t", (F.col("pos") - F.col("offset")).alias("start"), "length", "w").where("start >= 0").distinct()
     # Exact words: candidates of a document meet its text once, as one row, so no text is copied per candidate.
-    asked = near.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "w")).alias("c"))
-    sure = texts.join(asked, "doc_id").select("doc_id", F.explode(F.filter("c", lambda c: (c["start"] + c["length"] <= F.size("ws")) & (F.slice("ws", c["start"] + 1, c["length"]) == c["w"]))).alias("c"))
-    return sure.select("doc_id", "c.start", "c.length", "c.w").join(wins, "w").select("doc_id", "start", "length", "item_id").distinct()
+    asked = near.groupBy("d", "t").agg(F.collect_list(F.struct("start", "length", "w")).alias("c"))
+    met = texts.join(asked, ["d", "t"]).select("d", "t", words(F.col("text")).alias("ws"), "c")
+    sure = met.select("d", "t", F.explode(F.filter("c", lambda c: (c["start"] + c["length"] <= F.size("ws")) & (F.slice("ws", c["start"] + 1, c["length"]) == c["w"]))).alias("c"))
+    return sure.select("d", "t", "c.start", "c.length", "c.w").join(wins, "w").select("d", "t", "start", "length", "item_id").distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document.
+    """(doc_id, n_words, n_hit, items) of every row.
 
-    Null and empty texts have no words and are clean; null item texts have no windows; rows that share a doc_id share
-    their items (each row counts its own words); an empty benchmark leaves every document clean.
+    Null and empty texts have no words and are clean; null item texts have no windows; a null item_id counts as the
+    empty string; rows that share a doc_id, or have none, are each judged by their own text; an empty benchmark leaves
+    every document clean.
     """
     hits = saved(occurrences(docs, items, window))
-    spans = hits.select("doc_id", "start", "length").distinct()
-    marked = spans.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items_of = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    counted = only(docs, doc_id="bigint", text="string").select("doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    return counted.join(marked.join(items_of, "doc_id"), "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    spans = hits.select("d", "t", "start", "length").distinct()
+    marked = spans.select("d", "t", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("d", "t").agg(F.count("*").alias("n_hit"))
+    items_of = hits.select("d", "t", F.coalesce("item_id", F.lit("")).alias("item_id")).distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    counted = keyed(docs).select("d", "t", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    out = counted.join(marked.join(items_of, ["d", "t"]), ["d", "t"], "left")
+    return out.select(F.expr(f"nullif(d, {NO_ID})").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +119,6 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without those that hold a window of an item, all columns as they came."""
-    hit = occurrences(docs, items).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = occurrences(docs, items).select("d", "t").distinct().withColumnsRenamed({"d": "_d", "t": "_t"})
+    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_t"))
+    return docs.join(hit, same, "left_anti")

@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-A candidate block (a paragraph's line that speaks of a license) is compressed alone and with each template as a raw
+A candidate block (a line that speaks of a license, or of a very long line the parts around such words) is compressed alone and with each template as a raw
 zstandard dictionary. The template that saves most is the best guess; the words then decide: the template's words must
 stand in the block in order, and the words that tell versions apart must be the same.
 """
@@ -36,13 +36,34 @@ TEMPLATES = {
 CANDIDATE = re.compile(r"(?i)licen[sc]|copyright|public domain|permission is hereby granted|redistribution and use")
 #: Share of a template's words that must stand in the block in order, and templates that are confirmed by words at most.
 WORDS_KEPT, TRIES = 0.9, len(TEMPLATES)
-SCHEMA = "doc_id bigint, line bigint, license string, confirmed boolean, saved double, n_missing bigint, n_extra bigint"
+#: Characters of a line up to which it is one block; of a longer line, those kept on either side of each candidate word.
+LONG, AROUND = 800, 300
+SCHEMA = "doc_id bigint, line bigint, at bigint, license string, confirmed boolean, saved double, n_missing bigint, n_extra bigint"
 
 
 def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9.]*[a-z0-9](?:-[a-z]+)*", text.lower())
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(line, offset in the line, block) of every candidate block of a text."""
+    for k, line in enumerate(text.split("\n")):
+        if len(line) <= LONG:
+            if CANDIDATE.search(line):
+                yield k, 0, line
+            continue
+        a = b = -1
+        for m in CANDIDATE.finditer(line):
+            # Words close together share a block as long as it stays within LONG.
+            if b < 0 or m.end() + AROUND - a > LONG:
+                if b >= 0:
+                    yield k, a, line[a:b]
+                a = max(0, m.start() - AROUND)
+            b = m.end() + AROUND
+        if b >= 0:
+            yield k, a, line[a:b]
+
+
 class Scanner:
     """Compressors and words of each template, made once a task."""
 
@@ -74,7 +95,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each candidate line of each document: the best template, and whether its wording is confirmed.
+    """A row for each candidate block of each document: the best template, and whether its wording is confirmed.
 
     Null and empty texts have no lines; repeated rows are scanned each; an empty table gives no rows.
     """
@@ -82,14 +103,14 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
                 if not text or not CANDIDATE.search(text):
                     continue
-                rows += [(doc, k, *scanner.best(line)) for k, line in enumerate(text.split("\n")) if CANDIDATE.search(line)]
+                rows += [(doc, k, at, *scanner.best(block)) for k, at, block in blocks(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return only(docs, doc_id="bigint", text="string").mapInArrow(run, SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import saved, table
 
 #: Blocks a source is dealt into by hash. A block of the largest source holds a 4096th of it.
 BLOCKS = 4096
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | No
     n_tokens = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens.alias("n_tokens"), F.xxhash64(text).alias("t"))
     block = F.pmod(F.xxhash64("doc_id", "t", F.lit(SEED)), F.lit(BLOCKS)).cast("int")
-    rows = rows.select("*", block.alias("block"))
+    rows = saved(rows.select("*", block.alias("block")))
     # At most BLOCKS rows a source; the driver sees one row a source.
     sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
     tokens = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}

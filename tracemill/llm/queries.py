@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP6_SQL, op6_decontamination
+from .licenses import op9_license_scan
 from .lines import op5_line_dedup
 from .mixing import op2_temperature_mixing
 from .quality import op8_compression_bands
+from .secrets import op10_secret_forest
 from .simhash import op4_simhash_near_dedup
 from .suffixes import op3_suffix_dedup
 from .toxicity import op1_toxicity
+from .urls import op7_path_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -21,7 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_path_templates": op7_path_templates,
     "op8_compression_bands": op8_compression_bands,
+    "op9_license_scan": op9_license_scan,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}

@@ -24,14 +24,28 @@ TREES, TREE_DEPTH, KEEP = 30, 7, 0.5
 FEATURES = ["n", "digits", "uppers", "lowers", "marks", "distinct", "changes", "vowels", "longest_letters", "covered", "slashes", "dots", "path_test", "key_before", "sign_before", "word_before", "quoted", "example_near"]
 
 
+#: Characters of context: of the words beside a candidate's, and in its own word before it.
+NEAR = 64
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, word, part, c, around, before, before2, after): every candidate with its neighbours. ``path`` is the document's source."""
+    """(doc_id, path, word, part, c, lead, before, before2, after, slashes, dots, quoted): every candidate with its neighbours.
+
+    ``word`` numbers the whole text's white-space words, ``part`` the candidates in a word, ``lead`` is what stands before
+    ``c`` in its word. Context is cut to NEAR characters, so a text that is one very long word is not copied a candidate.
+    ``path`` is the document's source.
+    """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+").alias("ws"))
     spot = f"filter(transform(ws, (w_, i_) -> if(length(w_) >= 16 and w_ rlike '{SHAPE}', i_, -1)), i_ -> i_ >= 0)"
-    near = f"transform({spot}, i_ -> named_struct('word', i_, 'around', ws[i_], 'before', if(i_ > 0, ws[i_ - 1], ''), 'before2', if(i_ > 1, ws[i_ - 2], ''), 'after', if(i_ + 1 < size(ws), ws[i_ + 1], '')))"
+    lead = f"(?s)(.{{0,{NEAR}}}?)({SHAPE})"
+    parts = f"arrays_zip(regexp_extract_all(ws[i_], '{SHAPE}', 0), regexp_extract_all(ws[i_], '{lead}', 1))"
+    near = (
+        f"transform({spot}, i_ -> named_struct('word', i_, 'parts', {parts}, 'before', if(i_ > 0, right(ws[i_ - 1], {NEAR}), ''), 'before2', if(i_ > 1, right(ws[i_ - 2], {NEAR}), ''), "
+        f"'after', if(i_ + 1 < size(ws), left(ws[i_ + 1], {NEAR}), ''), 'own', left(ws[i_], {NEAR}), 'slashes', regexp_count(ws[i_], '/'), 'dots', regexp_count(ws[i_], '[.]'), 'quoted', ws[i_] rlike '[\"\\'].*[\"\\']'))"
+    )
     each = base.select("doc_id", "path", F.explode(F.expr(near)).alias("s")).select("doc_id", "path", "s.*")
-    return each.select("*", F.posexplode(F.expr(f"regexp_extract_all(around, '{SHAPE}', 0)")).alias("part", "c"))
+    return each.select("*", F.posexplode("parts").alias("part", "p")).select("*", F.col("p.0").alias("c"), F.col("p.1").alias("lead")).drop("parts", "p")
 
 
 def features(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,19 +56,19 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
     covered = runs.join(words, "run").groupBy("key").agg(F.sum(F.length("run")).alias("in_words"))
     out = found.withColumn("key", key).join(covered, "key", "left")
     many = lambda p: F.regexp_count("c", F.lit(p)).cast("double")
-    before = F.lower(F.concat_ws(" ", "before2", "before", F.expr("substring_index(around, c, 1)")))
+    before = F.lower(F.concat_ws(" ", "before2", "before", "lead"))
     flag = lambda x: x.cast("double")
     size = F.length("c").cast("double")
-    return out.select("doc_id", "word", "part", "c", "around", "before", "before2",
+    return out.select("doc_id", "word", "part", "c", "lead", "before", "before2",
         size.alias("n"), (many("[0-9]") / size).alias("digits"), (many("[A-Z]") / size).alias("uppers"), (many("[a-z]") / size).alias("lowers"), many("[+/_-]").alias("marks"),
         F.size(F.array_distinct(F.split("c", ""))).cast("double").alias("distinct"),
         (many("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])") / size).alias("changes"), (many("[aeiouAEIOU]") / size).alias("vowels"),
         F.coalesce(F.expr("array_max(transform(regexp_extract_all(c, '[A-Za-z]+', 0), x_ -> length(x_)))"), F.lit(0)).cast("double").alias("longest_letters"),
-        (F.coalesce("in_words", F.lit(0)) / size).alias("covered"), F.regexp_count("around", F.lit("/")).cast("double").alias("slashes"), F.regexp_count("around", F.lit(r"\.")).cast("double").alias("dots"),
+        (F.coalesce("in_words", F.lit(0)) / size).alias("covered"), F.col("slashes").cast("double").alias("slashes"), F.col("dots").cast("double").alias("dots"),
         flag(F.coalesce(F.lower("path").rlike("test|example|sample|mock|fixture"), F.lit(False))).alias("path_test"),
         flag(before.rlike("token|secret|passw|pwd|api.?key|auth|credential|private|bearer")).alias("key_before"), flag(before.rlike("[=:]\\s*[\"']?$")).alias("sign_before"),
-        F.length(F.regexp_replace("before", "[^A-Za-z]", "")).cast("double").alias("word_before"), flag(F.col("around").rlike("[\"'].*[\"']")).alias("quoted"),
-        flag(F.lower(F.concat_ws(" ", "before2", "before", "around", "after")).rlike("example|dummy|placeholder|changeme|xxxx")).alias("example_near"))
+        F.length(F.regexp_replace("before", "[^A-Za-z]", "")).cast("double").alias("word_before"), flag(F.col("quoted")).alias("quoted"),
+        flag(F.lower(F.concat_ws(" ", "before2", "before", "own", "after")).rlike("example|dummy|placeholder|changeme|xxxx")).alias("example_near"))
 
 
 def format_label(c: Column, before: Column) -> Column:
@@ -88,7 +102,7 @@ def judge(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """
     found = saved(features(candidates(docs), docs))
     if labelled is None:
-        before = F.concat_ws(" ", "before2", "before", F.expr("substring_index(around, c, 1)"))
+        before = F.concat_ws(" ", "before2", "before", "lead")
         known = found.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1).withColumn("label", format_label(F.col("c"), before)).where("label is not null")
     else:
         known = found.join(labelled.select("doc_id", "word", "part", F.col("label").cast("double").alias("label")), ["doc_id", "word", "part"])

@@ -2,9 +2,10 @@
 
 Fingerprints are 64 bits over 3-word shingles; two documents are linked when their fingerprints differ in at most two
 bits. Identical fingerprints become one representative first, so copies cost one row however many there are. The
-fingerprint is cut into two 32-bit segments. By the pigeonhole principle a pair at distance two or less has a first
-segment at distance one or less, or an equal second segment; so the first segment's table is probed with the Hamming ball
-of radius one and the second's with the value itself, and whatever the tables return is verified over all 64 bits.
+fingerprint has two 32-bit segments, and each segment's Hamming ball of radius one is enumerated beside the other
+segment's value. Two fingerprints are at distance two or less exactly if their balls share a point, so one table over the
+points holds all matches; a point is near at most 65 fingerprints, whatever the corpus holds, so no table entry is ever
+large and no group is expanded into all its pairs. What a table entry brings together is verified over all 64 bits.
 """
 
 from __future__ import annotations
@@ -54,17 +55,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, most: int = 2) -> DataFrame:
-    """Pairs (a, b) of different fingerprints at distance ``most`` = 2 or less, by multi-index hashing; ``fps`` has distinct fp."""
-    assert most == 2, "two segments with balls of radius one and zero cover distance two"
-    first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    tables = fps.select(F.explode(F.array(F.struct(F.lit(0).alias("seg"), first.alias("value")), F.struct(F.lit(1).alias("seg"), second.alias("value")))).alias("k"), F.col("fp").alias("b")).select("k.seg", "k.value", "b")
-    # Of two values that differ in one bit, the one that has the bit set probes the other: half a ball finds every pair.
-    flips = F.expr("filter(transform(sequence(0, 31), i -> shiftright(fp, 32) & 4294967295 & ~shiftleft(1L, i)), v -> v <> (shiftrightunsigned(fp, 32)))")
-    ball = F.concat(F.array(first), flips)
-    probes = fps.select(F.lit(0).alias("seg"), F.explode(ball).alias("value"), F.col("fp").alias("a")).unionByName(fps.select(F.lit(1).alias("seg"), second.alias("value"), F.col("fp").alias("a")))
-    same = (F.shiftrightunsigned("a", 32) == F.shiftrightunsigned("b", 32)) | ((F.col("seg") == 1))
-    found = probes.join(tables, ["seg", "value"]).where((F.col("a") != F.col("b")) & (~same | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Links (a, b) between different fingerprints whose connected parts are those of distance ``most`` = 2; ``fps`` has distinct fp.
+
+    All members of a table entry are within ``most`` of each other, so links from its smallest member to the others are enough.
+    A member is one bit away from its point, or is the point: the entry is a mask of bits, combined by ``bit_or``.
+    """
+    assert most == 2, "balls of radius one meet at distance two"
+    flip = "if(bit < 0, 0L, shiftleft(1L, bit))"
+    balls = fps.select("fp", F.explode(F.expr(f"sequence(-1, {BITS - 1})")).alias("bit"))
+    points = balls.select(F.expr(f"fp ^ {flip}").alias("point"), F.expr(flip).alias("mask"), F.expr("if(bit < 0, 1, 0)").alias("own"))
+    entries = points.groupBy("point").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where("bit_count(mask) + own > 1")
+    members = f"concat(transform(filter(sequence(0, {BITS - 1}), k -> (mask & shiftleft(1L, k)) <> 0), k -> point ^ shiftleft(1L, k)), if(own = 1, array(point), array()))"
+    listed = entries.select(F.expr(members).alias("members")).select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
+    return listed.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group kept, the one with the smallest doc_id; rows that repeat its id all stay."""
+    """The documents with one of each group kept, the one with the smallest doc_id; rows that repeat its id, and rows without one, all stay."""
     found = groups(docs)
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, saved, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -54,6 +54,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: D
     an empty host; repeated rows each count; an empty table gives no rows. Hosts without labels keep the overall share.
     """
     host, path = parts(F.col("url"))
+    # Urls are a small part of a page; the levels below read them from a written table of their own.
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url")).select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("*", ruled(F.col("host"), F.col("path"), rules).alias("r")).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), segments(F.col("path")).alias("seg"))
     if labels is None:
@@ -61,11 +62,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: D
     else:
         rows = rows.join(labels.where("page_id is not null").groupBy(F.col("page_id").alias("l_id")).agg(F.max("blocked").cast("int").alias("blocked")), F.col("page_id") == F.col("l_id"), "left").drop("l_id")
     # One row a host and template from here on, whatever the number of pages; counts are combined before the shuffle.
-    tree = rows.groupBy("host", "seg").agg(F.count("*").alias("n"), F.count("blocked").alias("lab"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blk"))
+    tree = saved(rows.groupBy("host", "seg").agg(F.count("*").alias("n"), F.count("blocked").alias("lab"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blk")))
     share = tree.agg(F.sum("blk").alias("b"), F.sum("lab").alias("l")).first()
     overall = (share["b"] or 0) / share["l"] if share["l"] else 0.0
     tree = tree.withColumn("prefix", F.lit("")).withColumn("purity", F.lit(None).cast("double")).withColumn("template", F.lit(""))
-    tree = _settle(tree, 0, overall)
+    tree = saved(_settle(tree, 0, overall))
     for k in range(DEPTH + 1):
         tree = tree.withColumn("s", F.get("seg", F.lit(k)))
         here = tree.where("s is not null").groupBy("host", "prefix", "s").agg(F.sum("n").alias("c"))
@@ -73,7 +74,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: D
         tree = tree.join(wide, ["host", "prefix"], "left")
         step = F.when(F.col("wild"), F.lit("{*}")).otherwise(F.col("s"))
         tree = tree.withColumn("prefix", F.when(F.col("s").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), step))).drop("wild")
-        tree = _settle(tree, k + 1, overall)
+        tree = saved(_settle(tree, k + 1, overall))
     found = tree.select(F.col("host").alias("t_host"), F.col("seg").alias("t_seg"), "template", "purity")
     out = rows.join(found, (F.col("host") == F.col("t_host")) & (F.col("seg") == F.col("t_seg")))
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
