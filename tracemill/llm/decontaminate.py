@@ -8,6 +8,8 @@ document (positional bound), which must leave room for the whole window (length
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +18,22 @@ from .common import LOWER, UPPER, only, saved, table
 WINDOW, SHINGLE = 10, 3
 #: Distinct benchmark shingles up to which their table is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
-#: What stands between words, and a word before A-Z are lower-cased.
-GAP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def spaced(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, with one space between; null or empty: the empty string."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, " "))
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; null or empty: none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
+    """The words of a text; null or empty: none."""
+    return F.filter(F.split(spaced(text), " "), lambda w: w != "")
 
 
-def shingles(name: str, sizes: list[int]) -> Column:
-    """An array of (pos, size, h) for the shingles of each size that start at each word of array column ``name``."""
-    parts = []
-    for n in sizes:
-        rest = ", ".join(f"get({name}, at_ + {k})" for k in range(1, n))
-        hashed = f"transform({name}, (word_, at_) -> xxhash64({n}, word_{', ' + rest if rest else ''}))"
-        parts.append(f"slice({hashed}, 1, greatest(size({name}) - {n - 1}, 0))")
-    return F.array(*[F.struct(F.lit(n).alias("size"), F.expr(p).alias("hs")) for n, p in zip(sizes, parts)])
+def shingles(spaced_words: Column, size: int) -> Column:
+    """The shingles of ``size`` words that start at each word, as strings; one regular expression keeps this in compiled code."""
+    return F.regexp_extract_all(spaced_words, F.lit("(?=(" + " ".join(["[^ ]+"] * size) + "))[^ ]+"), F.lit(1))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -59,14 +60,15 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     lone = wins.select("w").distinct().select("w", F.size("w").alias("length"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"))
     # A window has three-word shingles unless it is shorter than that: at most three sizes, whatever the benchmark is.
     sizes = [r["size"] for r in lone.select("size").distinct().orderBy("size").limit(SHINGLE).collect()] or [SHINGLE]
-    own = lone.select("w", "length", F.explode(shingles("w", sizes)).alias("s"), "size").where("s.size = size").select("w", "length", F.posexplode("s.hs").alias("offset", "h"))
-    own = saved(own)
+    each = lone.select("w", "length", F.posexplode(F.expr("transform(sequence(1, length - size + 1), i -> xxhash64(array_join(slice(w, i, size), ' ')))")).alias("offset", "h"))
+    own = saved(each)
     wanted = own.select("h").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = F.broadcast(wanted) if few else wanted
     texts = keyed(docs)
-    spots = texts.select("d", "t", words(F.col("text")).alias("ws")).select("d", "t", F.explode(shingles("ws", sizes)).alias("s")).select("d", "t", F.posexplode("s.hs").alias("pos", "h"))
-    found = saved(spots.join(wanted, "h", "left_semi"))
+    clean = texts.select("d", "t", spaced(F.col("text")).alias("ws"))
+    spots = [clean.select("d", "t", F.posexplode(shingles(F.col("ws"), n)).alias("pos", "s")).select("d", "t", "pos", F.xxhash64("s").alias("h")) for n in sizes]
+    found = saved(reduce(DataFrame.unionByName, spots).join(wanted, "h", "left_semi"))
     seen = found.groupBy("h").agg(F.count("*").alias("n"))
     # The prefix: of each window's shingles the rarest in the corpus; one that the corpus lacks rules the window out.
     counted = own.join(seen, "h", "left").select("w", "length", "offset", "h", F.coalesce("n", F.lit(0)).alias("n"))
@@ -90,7 +92,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     spans = hits.select("d", "t", "start", "length").distinct()
     marked = spans.select("d", "t", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("d", "t").agg(F.count("*").alias("n_hit"))
     items_of = hits.select("d", "t", F.coalesce("item_id", F.lit("")).alias("item_id")).distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    counted = keyed(docs).select("d", "t", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    counted = keyed(docs).select("d", "t", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     out = counted.join(marked.join(items_of, ["d", "t"]), ["d", "t"], "left")
     return out.select(F.expr(f"nullif(d, {NO_ID})").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

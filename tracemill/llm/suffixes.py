@@ -229,7 +229,8 @@ def _offer(buckets: int):
             out = []
             if known.any():
                 by = np.lexsort((key[known], doc[known]))
-                out += [(1, d % buckets, d, key[known][by][s].tobytes()) for d, s in _slices(doc[known][by])]
+                noted, owners = key[known][by], doc[known][by]
+                out += [(1, d % buckets, d, noted[s].tobytes()) for d, s in _slices(owners)]
             bucket = (key[lead] & np.uint64(0xFFFFFF)).astype(np.int64)
             by = np.lexsort((doc[lead], bucket))
             k, d, f = key[lead][by], doc[lead][by], known[lead][by]
