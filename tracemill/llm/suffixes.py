@@ -28,9 +28,9 @@ SPAN = WINDOW - K + 1
 #: Shuffled parts that anchors are dealt to, for each task that reads the input, and at least.
 BUCKETS_EACH, BUCKETS = 16, 1024
 #: Strings in one column-wise construction, unless one anchor has more.
-BATCH = 20_000
-#: Compressed bytes of whole buckets that are settled together.
-HELD = 3_000_000
+BATCH = 5_000
+#: Compressed bytes of whole buckets that are settled together, and ranges that a task keeps before it hands them on.
+HELD, RANGES = 3_000_000, 1_000_000
 _MULT, _ALL64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -275,11 +275,37 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(settle(at, held), names, kinds)
 
 
+def _joined(d: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Byte ranges (document, hash of its text, start, stop) in order, those that touch joined."""
+    by = np.lexsort((a, t, d))
+    d, t, a, b = d[by], t[by], a[by], b[by]
+    if not len(d):
+        return d, t, a, b
+    other = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+    # Ends so far, within a document: a document's own ends are lifted above all those before it.
+    lift = (np.cumsum(other) - 1) * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + lift) - lift
+    lead = np.flatnonzero(other | np.append(True, a[1:] > reach[:-1]))
+    return d[lead], t[lead], a[lead], reach[np.append(lead[1:] - 1, len(reach) - 1)]
+
+
 def _spans(docs: np.ndarray, ts: np.ndarray, starts: np.ndarray, stops: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of kind 1: byte ranges a document loses, ranges that touch joined."""
-    by = np.lexsort((starts, ts, docs))
-    d, t, a, b = docs[by], ts[by], starts[by], stops[by]
-    return [(1, int(i) % buckets, int(i), _pack(t[s], a[s].astype("<i8"), b[s].astype("<i8"))) for i, s in _slices(d)]
+    """Rows of kind 1: byte ranges that documents lose, packed by the documents' buckets."""
+    d, t, a, b = _joined(docs, ts, starts, stops)
+    g = d % buckets
+    by = np.argsort(g, kind="stable")
+    d, t, a, b, g = d[by], t[by], a[by], b[by], g[by]
+    return [(1, k, 0, _pack(d[s], t[s], a[s].astype("<i8"), b[s].astype("<i8"))) for k, s in _slices(g)]
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, body): the ranges of each document of a bucket, from what all tasks found."""
+    for batch in batches:
+        out = []
+        for bodies in batch.column("bodies"):
+            d, t, a, b = _joined(*(np.concatenate(c) for c in zip(*(_unpack(x, "<i8", "<i8", "<i8", "<i8") for x in bodies.as_py()))))
+            out += [(i, _pack(t[s], a[s], b[s])) for i, s in _slices(d)]
+        yield _rows(out, ["d", "body"], [pa.int64(), pa.binary()])
 
 
 def _strings(buckets: int):
@@ -351,9 +377,9 @@ def _suspects(content: list[bytes], owners: np.ndarray) -> np.ndarray:
 
 
 def _compared(buckets: int):
-    """(d, body): byte ranges that documents lose, from all strings of a bucket."""
+    """(g, body): byte ranges that documents lose, packed by the documents' buckets, from all strings of a bucket."""
 
-    def settle(heads: list[bytes], bodies: list[bytes]) -> list[tuple]:
+    def settle(heads: list[bytes], bodies: list[bytes]) -> tuple[np.ndarray, ...]:
         parts = [_unpack(h, "<i8", "<i8", "<i8", "<u8", "<i2") for h in heads]
         doc, t, start, key, size = (np.concatenate(c) for c in zip(*parts))
         size = size.astype(np.int64)
@@ -385,27 +411,35 @@ def _compared(buckets: int):
             reps = [len(hits[int(cls[i])]) for i in own]
             at = np.repeat(start[own], reps) + np.concatenate([hits[int(cls[i])] for i in own])
             lost.append((np.repeat(doc[own], reps), np.repeat(t[own], reps), at, at + WINDOW))
-        doc, t, a, b = (np.concatenate(c) for c in zip(*lost))
-        return [(d, body) for _, _, d, body in _spans(doc, t, a, b, buckets)]
+        return tuple(np.concatenate(c) for c in zip(*lost))
+
+    def told(lost: list[tuple[np.ndarray, ...]]) -> list[tuple]:
+        return [(g, body) for _, g, _, body in _spans(*(np.concatenate(c) for c in zip(*lost)), buckets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["d", "body"], [pa.int64(), pa.binary()]
-        at, heads, bodies = -1, [], []
+        names, kinds = ["g", "body"], [pa.int64(), pa.binary()]
+        at, heads, bodies, size, lost = -1, [], [], 0, []
         for batch in batches:
             out = []
             for kind, bucket, d, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
-                    out.append((d, body))
+                    out.append((bucket, body))
                     continue
-                if bucket != at and sum(map(len, bodies)) > HELD:
-                    out += settle(heads, bodies)
-                    heads, bodies = [], []
+                if bucket != at and size > HELD:
+                    lost.append(settle(heads, bodies))
+                    heads, bodies, size = [], [], 0
+                    if sum(len(x[0]) for x in lost) > RANGES:
+                        out += told(lost)
+                        lost = []
                 at = bucket
                 heads.append(body[:d])
                 bodies.append(body[d:])
+                size += len(body) - d
             yield _rows(out, names, kinds)
         if heads:
-            yield _rows(settle(heads, bodies), names, kinds)
+            lost.append(settle(heads, bodies))
+        if lost:
+            yield _rows(told(lost), names, kinds)
 
     return run
 
@@ -436,8 +470,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     repeated = dealt(own.mapInArrow(_offer(buckets), PACKED)).mapInArrow(_repeated, "d bigint, body binary")
     noted = repeated.groupBy("d").agg(F.collect_list("body").alias("bodies"))
     strings = own.join(noted, "d").mapInArrow(_strings(buckets), PACKED)
-    lost = dealt(strings).mapInArrow(_compared(buckets), "d bigint, body binary")
-    gone = lost.groupBy("d").agg(F.collect_list("body").alias("gone"))
+    lost = dealt(strings).mapInArrow(_compared(buckets), "g bigint, body binary")
+    # A bucket holds as many documents however large the input is; each comes out once.
+    gone = lost.groupBy("g").agg(F.collect_list("body").alias("bodies")).mapInArrow(_by_document, "d bigint, body binary")
+    gone = gone.select("d", F.array("body").alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
