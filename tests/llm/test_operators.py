@@ -175,6 +175,23 @@ def edits(a, b):
     return last[-1]
 
 
+def test_line_fingerprints(spark):
+    """A bit is set if over half of a line's distinct word hashes have it, for lines of one word to more than a row of counters takes."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in (1, 2, 6, 7, 8, 13, 14, 15, 100, 700, lines.LANE, lines.LANE + 1, 2 * lines.LANE + 5)]
+    texts += ["A b  a,B -- c\n ...\n\n\u00dcber \u03a3\u03a3 \u65e5\u672c 12\n -x y- ", " \n", "", None]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
+            if norm:
+                hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in set(norm.split(" "))]
+                want.add((d, k, xxhash.xxh64(norm.encode(), seed=42).hexdigest(), sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
+    got = {(r["doc_id"], r["line"], f"{r['h'] & (1 << 64) - 1:016x}", r["fp"] & (1 << 64) - 1) for r in lines.lines_of(made).collect()}
+    assert got == want
+
+
 def test_lines(spark):
     rng = random.Random(9)
     words = [f"word{n}" for n in range(40)]
