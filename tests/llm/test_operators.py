@@ -89,6 +89,17 @@ def test_simhash_links_of_many_near_fingerprints(spark):
     assert parts(nodes, near) == parts(nodes, lambda a, b: (a, b) in pairs)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    # Id 5 is the kept row of a's group and a copy in b's; c is a repeated row, d has null ids only.
+    rows = [(5, a, "k"), (6, a, "x"), (5, b, "x"), (2, b, "k"), (7, c, "k"), (7, c, "k"), (7, c, "k"), (None, c, "x"), (None, d, "k"), (None, d, "k")]
+    got = sorted(tuple(r) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, row string")).collect() if r["doc_id"] is not None or r["text"] != d)
+    assert got == sorted([(5, a, "k"), (2, b, "k"), (7, c, "k")])
+    assert simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, row string")).where("doc_id is null").count() == 1
+    assert simhash.near_dedup(none(spark)).count() == 0
+
+
 def test_suffixes(spark, docs, rows):
     raw = {r[0]: (r[1] or "").encode() for r in rows}
     first = {}

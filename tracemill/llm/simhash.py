@@ -93,7 +93,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group kept, the one with the smallest doc_id; rows that repeat its id, and rows without one, all stay."""
-    found = groups(docs)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """The documents with exactly one row of each group kept.
+
+    It is the one with the smallest doc_id, then hash of its text, then number in the written table; null ids come last.
+    Rows are grouped and dropped by their number, so repeated rows, ids that stand on several texts and null ids are rows like any other.
+    """
+    row = "_row" + "_" * max(map(len, docs.columns))
+    rows = saved(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    found = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    named = rows.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col(row).alias("row")).alias("place"))
+    placed = saved(found.join(named, "row"))
+    firsts = placed.groupBy("component_id").agg(F.min("place").alias("kept"))
+    drop = placed.join(firsts, "component_id").where("row <> kept.row").select(F.col("row").alias(row))
+    return rows.join(drop, row, "left_anti").select(docs.columns)
