@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -271,6 +272,16 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licenses_over_lines_and_several_in_a_block(spark):
+    wrap = lambda name, mark, n: "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name], n))
+    dual = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    texts = ["/*\n" + wrap("Apache-2.0-header", " * ", 70) + "\n */\nint main;", wrap("MIT-text", "# ", 72), "x\n" + wrap("BSD-3-Clause", "// ", 60) + ":", wrap("MPL-2.0", "-- ", 40), dual, "Permission is hereby\n" + licenses.TEMPLATES["MIT-text"][21:], "Released under the MIT Li-\ncense.", "\n".join(["Released under the MIT License."] * 3), "Licensed to nobody.\n\n" + "word " * 300 + "\n" + licenses.TEMPLATES["LGPL-3.0"]]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sure = sorted((r["doc_id"], r["line"], r["at"], r["license"]) for r in got if r["confirmed"])
+    assert sure == [(0, 1, 3, "Apache-2.0-header"), (1, 0, 2, "MIT-text"), (2, 1, 3, "BSD-3-Clause"), (3, 0, 3, "MPL-2.0"), (4, 0, 0, "MIT"), (4, 0, 32, "Apache-2.0"), (5, 0, 0, "MIT-text"), (6, 0, 0, "MIT"), (7, 0, 0, "MIT"), (7, 1, 0, "MIT"), (7, 2, 0, "MIT"), (8, 3, 0, "LGPL-3.0")]
+    assert [(r["doc_id"], r["line"]) for r in got if not r["confirmed"]] == [(8, 0)]
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
