@@ -1,5 +1,6 @@
 """Each operator against a plain version of its contract on small tables with nulls, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -152,6 +153,22 @@ def test_quality(spark, docs, rows):
     assert quality.judge(none(spark)).count() == 0
 
 
+def test_quality_rejects_encoded_bytes(spark):
+    rng = random.Random(6)
+    good = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id").where("length(text) > 2000").orderBy("doc_id").limit(40)
+    prose = "\n".join(r["text"] for r in good.collect())
+    b64 = lambda n: base64.encodebytes(rng.randbytes(n)).decode()[:n]
+    hexes = lambda n: "\n".join(rng.randbytes(30).hex() for _ in range(n // 60))
+    chars = lambda n: "\n".join("".join(chr(rng.randrange(33, 127)) for _ in range(60)) for _ in range(n // 61))
+    # Encoded lines of 60 to 76 characters are words: each text has 20 or more, and passes the base rule.
+    noise = [b64(2000), b64(4000), b64(9000), b64(30000), hexes(2400), hexes(4000), hexes(9000), hexes(30000), chars(2000), chars(9000), chars(30000)]
+    mixed = [prose[: int(n * (1 - share))] + b64(int(n * share)) for n, share in ((9000, 0.6), (9000, 0.8), (30000, 0.6))]
+    kept = [prose[:n] for n in (1000, 3000, 4096, 4196, 9000, 30000)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(list(enumerate(noise + mixed + kept)), "doc_id bigint, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[n]["kept"] for n in range(len(got))] == [False] * len(noise + mixed) + [True] * len(kept)
+
+
 def test_decontamination(spark, docs, rows):
     text = rows[3][1].split()
     items = [(1, " ".join(text[:12])), (2, "a, B!"), (3, None), (4, "...,"), (5, " ".join(w + "?" for w in rows[27][1].split()[6:40])), (6, "nowhere at all")]
