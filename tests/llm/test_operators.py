@@ -319,6 +319,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] > 0.8 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) < 0.01 * n[0, 0]
 
 
+def test_toxicity_of_a_pair_of_neutral_words():
+    """Terms 1 and 2 are toxic only beside each other; each alone has the overall share of toxic documents, which term 3 makes up."""
+
+    def made(seed):
+        rng, out = random.Random(seed), []
+        for _ in range(3000):
+            terms, u = set(rng.sample(range(10, 310), 20)), rng.random()
+            own = {1, 2} if u < 0.04 else {1} if u < 0.24 else {2} if u < 0.44 else {3} if u < 0.56 else set()
+            out.append((toxicity.np.array(sorted(terms | own)), float(own in ({1, 2}, {3})), own))
+        return out
+
+    learn, judge = made(1), made(2)
+    machine = toxicity.fit([x for x, _, _ in learn], toxicity.np.array([t for _, t, _ in learn]))
+    raw = machine.raw(toxicity.np.concatenate([x for x, _, _ in judge]), toxicity.np.repeat(range(len(judge)), [len(x) for x, _, _ in judge]), len(judge))
+    hit = 1 / (1 + toxicity.np.exp(-raw)) >= toxicity.THRESHOLD
+    pair = [h for h, (_, _, own) in zip(hit, judge) if own == {1, 2}]
+    alone = [h for h, (_, _, own) in zip(hit, judge) if own in ({1}, {2})]
+    assert machine.factor[[1, 2]].any(axis=1).all()
+    assert sum(pair) > 0.8 * len(pair) and sum(alone) < 0.01 * len(alone)
+
+
 def test_toxicity_edges(spark, docs):
     machine = toxicity.train(docs, spark.createDataFrame([(0, 1, None), (None, 1, 1), (1, 0, 0)], "doc_id bigint, quality int, toxic int"))
     assert toxicity.scored(docs, machine).where("score between 0 and 1").count() == docs.count()

@@ -19,8 +19,10 @@ from .common import only, table
 BUCKETS, FACTORS = 1 << 18, 8
 #: Labelled rows to learn from, at most, by the order of a hash of doc_id.
 SAMPLE = 20_000
-#: A term counts if at least so many sampled documents have it, and its share of toxic ones is so many standard errors off.
-LEAST_DOCS, STANDARD_ERRORS = 5, 3.0
+#: A term counts if at least so many sampled documents have it, whatever their labels.
+LEAST_DOCS = 5
+#: What a step takes off each weight and off the length of each term's vector (regularisation decides which stay), and the vectors' share of the rate.
+SHRINK, SHRINK_FACTOR, FACTOR_RATE = 1e-3, 5e-4, 0.5
 #: Parts of the sample that are scored by machines fitted to the others, to place the threshold.
 FOLDS = 4
 THRESHOLD = 0.7
@@ -42,7 +44,7 @@ class Machine:
 
     def __init__(self, bias: float, weight: np.ndarray, factor: np.ndarray):
         self.bias, self.weight, self.factor = bias, weight, factor
-        self.active = weight != 0
+        self.active = (weight != 0) | (factor != 0).any(axis=1)
 
     def raw(self, flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Log odds of ``rows`` texts; ``flat`` has their terms, ``row`` each term's text."""
@@ -60,18 +62,19 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, np.repeat(np.arange(len(lists)), sizes), len(lists)), -30, 30)))
 
 
-def telling(lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms whose documents are toxic clearly more or less often than others; the rest only names single documents."""
-    n, base = len(lists), labels.mean()
+def supported(lists: list[np.ndarray]) -> np.ndarray:
+    """The terms that enough documents have."""
     docs = np.bincount(np.concatenate(lists), minlength=BUCKETS)
-    toxic = np.bincount(np.concatenate(lists), np.repeat(labels, list(map(len, lists))), minlength=BUCKETS)
-    off = np.abs(toxic - docs * base) / np.sqrt(docs * base * (1 - base) + 1e-9)
-    return np.flatnonzero((docs >= min(LEAST_DOCS, max(1, n // 50))) & (docs <= n // 2) & (off > STANDARD_ERRORS))
+    return np.flatnonzero(docs >= min(LEAST_DOCS, max(1, len(lists) // 50)))
 
 
 def descend(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss; both labels occur."""
-    n, active = len(lists), telling(lists, labels)
+    """Adagrad on the logistic loss; both labels occur.
+
+    All supported terms have a weight and a vector. The first ``epochs`` fit the weights alone, as many more fit the vectors
+    with them, so that vectors explain what weights leave over.
+    """
+    n, active = len(lists), supported(lists)
     place = np.full(BUCKETS, -1)
     place[active] = np.arange(len(active))
     kept = [p[p >= 0] for p in (place[x] for x in lists)]
@@ -79,23 +82,33 @@ def descend(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate:
     w, v = np.zeros(len(active)), rng.normal(0, 0.02, (len(active), FACTORS))
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
     gw, gv, gb = np.full(len(active), 1e-2), np.full((len(active), FACTORS), 1e-2), 1e-2
-    for _ in range(epochs):
+    for epoch in range(2 * epochs):
         for batch in np.array_split(rng.permutation(n), max(1, n // 128)):
             flat = np.concatenate([kept[i] for i in batch])
+            if not len(flat):
+                continue
             row = np.repeat(np.arange(len(batch)), [len(kept[i]) for i in batch])
-            vf = v[flat]
-            total = np.stack([np.bincount(row, vf[:, f], len(batch)) for f in range(FACTORS)], axis=1)
-            squares = np.bincount(row, (vf * vf).sum(axis=1), len(batch))
-            z = bias + np.bincount(row, w[flat], len(batch)) + 0.5 * ((total**2).sum(axis=1) - squares)
+            order = np.argsort(flat, kind="stable")
+            at, first = np.unique(flat[order], return_index=True)
+            z = bias + np.bincount(row, w[flat], len(batch))
+            if epoch >= epochs:
+                vf = v[flat]
+                total = np.stack([np.bincount(row, vf[:, f], len(batch)) for f in range(FACTORS)], axis=1)
+                z += 0.5 * ((total**2).sum(axis=1) - np.bincount(row, (vf * vf).sum(axis=1), len(batch)))
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]
-            at, back = np.unique(flat, return_inverse=True)
             each = error[row]
-            dw = np.bincount(back, each, len(at)) / len(batch) + decay * w[at]
-            dv = np.stack([np.bincount(back, each * (total[row, f] - vf[:, f]), len(at)) for f in range(FACTORS)], axis=1) / len(batch) + decay * v[at]
+            dw = np.add.reduceat(each[order], first) / len(batch) + decay * w[at]
             gw[at] += dw * dw
-            gv[at] += dv * dv
-            w[at] -= rate * dw / np.sqrt(gw[at])
-            v[at] -= 0.2 * rate * dv / np.sqrt(gv[at])
+            step = rate / np.sqrt(gw[at])
+            moved = w[at] - step * dw
+            w[at] = np.sign(moved) * np.maximum(np.abs(moved) - step * SHRINK, 0)
+            if epoch >= epochs:
+                dv = np.add.reduceat((each[:, None] * (total[row] - vf))[order], first) / len(batch) + decay * v[at]
+                gv[at] += dv * dv
+                steps = FACTOR_RATE * rate / np.sqrt(gv[at])
+                turned = v[at] - steps * dv
+                size = np.sqrt((turned**2).sum(axis=1))
+                v[at] = turned * np.maximum(1 - steps.mean(axis=1) * SHRINK_FACTOR / np.maximum(size, 1e-12), 0)[:, None]
             gb += (db := error.mean()) ** 2
             bias -= rate * db / np.sqrt(gb)
     weight, factor = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
