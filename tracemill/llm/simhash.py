@@ -79,7 +79,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     fps = saved(fingerprints(docs))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    near = components(links(reps.select("fp")))
+    near, _ = components(links(reps.select("fp")))
     least = reps.join(near, reps.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
     roots = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = least.join(roots, "root").select("fp", "component_id")
