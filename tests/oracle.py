@@ -7,8 +7,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(names, found):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    clean = lambda v: round(v, 5) if isinstance(v, float) else v
-    return sorted(names), sorted((tuple(clean(r[i]) for i in order) for r in found), key=repr)
+    return sorted(names), sorted((tuple(r[i] for i in order) for r in found), key=repr)
 
 
 def compare(spark, sf_dir, query, sql):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import FOLD_FROM, FOLD_TO, preview
+from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import family, ledger, pricing, search, timeline, usage
 from .sources import bridge
+from .storage import once
 
 NOW, MIDDLE = 1706573100000, 1705276800000
 TERMS, WITHOUT = ["ere", "ing"], ["casino"]
@@ -17,12 +18,18 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return bridge.events(spark, d)
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return usage.facts(_raw(spark, d), pricing.sample_catalog(spark))
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, "turned", f"{d}/events.parquet", lambda: ledger.turned(_raw(spark, d)))
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    return usage.steps_of(_raw(spark, d), pricing.sample_catalog(spark))[0]
+    """The ledger's priced steps: written once an application, as reports read them again and again."""
+    found = lambda: once(spark, "found", f"{d}/events.parquet", lambda: ledger.steps(_events(spark, d)).withColumnRenamed("id", "event"))
+    return once(spark, "steps", f"{d}/events.parquet", lambda: pricing.priced(found(), pricing.sample_catalog(spark)))
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, "facts", f"{d}/events.parquet", lambda: usage.facts(_steps(spark, d), _events(spark, d)))
 
 
 def _by(name: str, **how):
@@ -34,19 +41,25 @@ def _project(spark: SparkSession, d: str) -> DataFrame:
     return usage.report(_facts(spark, d), "project", roots=roots)
 
 
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """Every ninth output stands for a call whose cost its harness reported; that comes before the catalog's."""
+    found = _steps(spark, d).drop("model_key", "pico", "source", *[f"pico_{p}" for p in pricing.PARTS]).withColumn("reported", F.expr("if(output % 9 = 0, output / 1024D, null)"))
+    rows = pricing.priced(found, pricing.sample_catalog(spark))
+    return rows.groupBy("session", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("steps"), F.count_if(F.col("pico").isNull()).alias("unpriced"), usd_sum("pico").alias("cost"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    steps, events = usage.steps_of(_raw(spark, d), pricing.sample_catalog(spark))
-    return usage.turn_totals(steps, ledger.prompts(events))
+    return usage.turn_totals(_steps(spark, d), ledger.prompts(_events(spark, d)))
 
 
 def _family(spark: SparkSession, d: str) -> DataFrame:
-    totals = _steps(spark, d).groupBy("session").agg(F.count("*").alias("steps"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cost").alias("cost"))
+    totals = _steps(spark, d).groupBy("session").agg(F.count("*").alias("steps"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("pico").alias("pico"))
     return family.totals(bridge.sessions(_raw(spark, d)), totals)
 
 
 def _around(spark: SparkSession, d: str) -> DataFrame:
     events = ledger.latest(_raw(spark, d)).select("session", "id", "seq", "kind")
-    anchors = events.where("seq % 50 = 0").groupBy("session").agg(F.min_by("id", "seq").alias("id"))
+    anchors = events.where("kind <> 'system'").groupBy("session").agg(F.min_by("id", "seq").alias("id"))
     return timeline.around(events, anchors, 5)
 
 
@@ -61,13 +74,16 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asof(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as calls of the model that is their part's brand, priced by segments that begin each year."""
+    """Line items as calls of the model that is their part's brand, priced by the library with segments that begin each year."""
     brands = bridge.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("model")).where("model is not null")
-    years = "transform(sequence(1990, 2030), y -> named_struct('from', (unix_date(make_date(y, 1, 1))) * 86400000L, 'rate', cast(y % 7 + 1 as double)))"
-    items = bridge.table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_shipdate").join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    years = "transform(sequence(1990, 2030), y -> named_struct('from', unix_date(make_date(y, 1, 1)) * 86400000L, 'input', cast(y % 7 + 1 as double), 'output', 0D, 'cache_read', 0D, 'cache_write', 0D, 'tiers', cast(array() as array<struct<above: bigint, input: double, output: double, cache_read: double, cache_write: double>>)))"
+    offers = brands.select(F.col("model").alias("id")).distinct().select("id", F.expr(years).alias("prices"), F.lit(None).cast("bigint").alias("context_limit"))
     at = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * 86_400_000
-    priced = items.withColumn("ts_ms", at).withColumn("rate", F.expr(f"try_element_at(filter({years}, s -> s.from <= ts_ms), -1).rate"))
-    return priced.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("rate")), 2).alias("cost"))
+    # Items of one model and day cost alike, so they are added up before they are priced.
+    items = bridge.table(spark, d, "lineitem").select("l_partkey", "l_quantity", at.alias("ts_ms")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("output", "cache_read", "cache_write", "reasoning")]
+    days = items.groupBy("model", "ts_ms").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("input")).select("model", "ts_ms", "n", "input", *zero)
+    return pricing.priced(days, offers).groupBy("model").agg(F.sum("n").alias("n"), (usd_sum("pico") * 1e6).alias("cost"))
 
 
 def _consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -83,11 +99,13 @@ QUERIES: dict = {
     "usage_model_window": lambda s, d: usage.report(usage.chosen(_facts(s, d), since=MIDDLE, model="model-a"), "day"),
     "usage_against_before": lambda s, d: usage.against_before(_facts(s, d), MIDDLE, NOW),
     "usage_share_of_day": lambda s, d: usage.share_of_day(_facts(s, d)),
-    "session_steps": lambda s, d: _steps(s, d).select("session", "event", "step_idx", "turn", "ts_ms", "model", "model_key", "input", F.round("cost", 6).alias("cost")),
+    "session_steps": lambda s, d: _steps(s, d).select("session", "event", "step_idx", "turn", "ts_ms", "model", "model_key", "input", usd(F.col("pico")).alias("cost")),
     "session_totals": lambda s, d: usage.session_totals(_steps(s, d), pricing.sample_catalog(s)),
     "session_turns": _turns,
+    "cost_parts": lambda s, d: _steps(s, d).groupBy("session", F.coalesce("source", F.lit("")).alias("source")).agg(*[usd_sum(f"pico_{p}").alias(f"cost_{p}") for p in pricing.PARTS]),
+    "cost_reported": _reported,
     "models_seen": lambda s, d: usage.models_seen(_steps(s, d)),
-    "turn_numbering": lambda s, d: ledger.turned(_raw(s, d)).select("session", "seq", "id", "kind", "first", "turn", "fill"),
+    "turn_numbering": lambda s, d: _events(s, d).select("session", "seq", "id", "kind", "first", "turn", "fill"),
     "event_upsert": lambda s, d: ledger.latest(_raw(s, d)).select("session", "id", "seq", "kind", "input"),
     "price_asof": _asof,
     "price_consensus": _consensus,
@@ -97,7 +115,7 @@ QUERIES: dict = {
     "events_page": lambda s, d: timeline.page(ledger.latest(_raw(s, d)).select("session", "id", "seq", "kind"), 3, 5000),
     "events_oldest": lambda s, d: timeline.oldest(ledger.latest(_raw(s, d)).select("session", "id", "seq", "kind"), 2),
     "events_around": _around,
-    "trajectory_items": lambda s, d: timeline.trajectory(ledger.turned(_raw(s, d))),
+    "trajectory_items": lambda s, d: timeline.trajectory(_events(s, d)),
     "sessions_filtered": lambda s, d: bridge.sessions(_raw(s, d)).where(search.session_filter(harness=["Alpha", "beta"], inside="REPO1", since=MIDDLE)).select("session", "harness", "updated_at"),
     "sessions_not_filtered": lambda s, d: bridge.sessions(_raw(s, d)).where(search.session_filter(has_parent=True, starts="alpha:", negate=True)).select("session", "parent"),
     "fts_sessions": _search,
@@ -128,17 +146,19 @@ s0 AS (SELECT session, id AS event, harness, cwd, user_id, min(seq) AS seq, arg_
   arg_max(cache_write, seq) AS cache_write, arg_max(reasoning, seq) AS reasoning, coalesce(arg_max(model, seq) FILTER (WHERE model IS NOT NULL), nullif(arg_min(coalesce(fill, ''), seq), '')) AS model
   FROM turned WHERE kind = 'usage' GROUP BY session, id, harness, cwd, user_id),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS step_idx, coalesce({_BASE.format('model')}, '') AS model_key, input + cache_read + cache_write AS prompt FROM s0),
-steps AS (SELECT *, CASE WHEN model_key = 'model-b' THEN (input * 1.0 + output * 5.0 + cache_read * 0.1 + cache_write * 1.25) / 1e6
-  WHEN model_key = 'model-a' AND ts_ms < {MIDDLE} THEN (input * 3.0 + output * 15.0 + cache_read * 0.3 + cache_write * 3.75) / 1e6
-  WHEN model_key = 'model-a' AND prompt > 3000 THEN (input * 6.0 + output * 30.0 + cache_read * 0.6 + cache_write * 7.5) / 1e6
-  WHEN model_key = 'model-a' THEN (input * 4.0 + output * 20.0 + cache_read * 0.4 + cache_write * 5.0) / 1e6 WHEN prompt + output = 0 THEN 0.0 END AS cost FROM s1)"""
+steps AS (SELECT *, CASE WHEN model_key = 'model-b' THEN input * 1000000 + output * 5000000 + cache_read * 100000 + cache_write * 1250000
+  WHEN model_key = 'model-a' AND ts_ms < {MIDDLE} THEN input * 3000000 + output * 15000000 + cache_read * 300000 + cache_write * 3750000
+  WHEN model_key = 'model-a' AND prompt > 3000 THEN input * 6000000 + output * 30000000 + cache_read * 600000 + cache_write * 7500000
+  WHEN model_key = 'model-a' THEN input * 4000000 + output * 20000000 + cache_read * 400000 + cache_write * 5000000 WHEN prompt + output + reasoning = 0 THEN 0 END AS pico FROM s1)"""
+_SOURCE = "CASE WHEN model_key IN ('model-a', 'model-b') THEN 'catalog' ELSE '' END"
+_USD = "CAST(sum(pico) AS DOUBLE) / 1e12"
 _FACTS = _STEPS + f""",
 turn_model AS (SELECT session, turn, arg_min(model_key, seq) AS m FROM steps GROUP BY session, turn),
 final AS (SELECT session, arg_max(fill, seq) AS m FROM turned WHERE fill IS NOT NULL GROUP BY session),
-facts AS (SELECT session, harness, cwd, ts_ms, model_key, 1 AS is_step, 0 AS is_prompt, input, output, cache_read, cache_write, reasoning, cost, CASE WHEN cost IS NULL THEN 1 ELSE 0 END AS unpriced FROM steps
+facts AS (SELECT session, harness, cwd, ts_ms, model_key, 1 AS is_step, 0 AS is_prompt, input, output, cache_read, cache_write, reasoning, pico, CASE WHEN pico IS NULL THEN 1 ELSE 0 END AS unpriced FROM steps
   UNION ALL SELECT p.session, p.harness, p.cwd, p.ts_ms, coalesce(t.m, {_BASE.format('f.m')}, ''), 0, 1, 0, 0, 0, 0, 0, NULL, 0 FROM turned p LEFT JOIN turn_model t ON p.session = t.session AND p.turn = t.turn
   LEFT JOIN final f ON p.session = f.session WHERE p.kind = 'user_message' AND p.first)"""
-_SUMS = "count(DISTINCT session) AS sessions, CAST(sum(is_step) AS BIGINT) AS steps, CAST(sum(is_prompt) AS BIGINT) AS prompts, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in usage.SUMS) + ", round(sum(cost), 6) AS cost, CAST(sum(unpriced) AS BIGINT) AS unpriced"
+_SUMS = "count(DISTINCT session) AS sessions, CAST(sum(is_step) AS BIGINT) AS steps, CAST(sum(is_prompt) AS BIGINT) AS prompts, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in usage.SUMS) + f", {_USD} AS cost" + ", CAST(sum(unpriced) AS BIGINT) AS unpriced"
 _SESSIONS = _RAW + """,
 ss AS (SELECT session, harness, user_id, cwd, min(ts_ms) AS started_at, max(ts_ms) AS updated_at FROM raw GROUP BY ALL),
 sessions AS (SELECT a.*, b.session AS parent FROM ss a LEFT JOIN ss b ON b.session <> a.session AND b.session = list_extract(['alpha', 'beta', 'gamma', 'delta'], (a.user_id // 3) % 4 + 1) || ':u' || (a.user_id // 3) || '-w' || split_part(a.session, '-w', 2))"""
@@ -161,25 +181,27 @@ SQL: dict[str, str] = {
     "usage_by_harness": _grouped("harness"), "usage_by_model": _grouped("model_key"), "usage_by_cwd": _grouped("cwd"), "usage_by_session": _grouped("session"), "usage_by_project": _grouped("regexp_extract(cwd, '^(/w/[^/]+)', 1)"),
     "usage_by_dir": _grouped("cwd", "cwd LIKE '/w/repo1/%'"), "usage_by_day": _grouped(_wall("%Y-%m-%d")), "usage_by_hour": _grouped(_wall("%H", 28_800_000)), "usage_by_weekday": _grouped(f"CAST(isodow(CAST({_wall('%Y-%m-%d', -18_000_000)} AS DATE)) AS VARCHAR)"),
     "usage_by_weekday_hour": _grouped(f"CAST(isodow(CAST({_wall('%Y-%m-%d')} AS DATE)) AS VARCHAR) || '-' || {_wall('%H')}"),
-    "usage_fold_other": f"WITH {_FACTS}, g AS (SELECT session AS key, sum(cost) AS c, sum(input + output + cache_read + cache_write) AS t FROM facts GROUP BY 1), top AS (SELECT key FROM g ORDER BY coalesce(round(c, 6), 0) DESC, t DESC, key LIMIT 10) SELECT coalesce(top.key, '(other)') AS key, {_SUMS} FROM facts LEFT JOIN top ON facts.session = top.key GROUP BY 1",
+    "usage_fold_other": f"WITH {_FACTS}, g AS (SELECT session AS key, sum(pico) AS c, sum(input + output + cache_read + cache_write) AS t FROM facts GROUP BY 1), top AS (SELECT key FROM g ORDER BY coalesce(c, 0) DESC, t DESC, key LIMIT 10) SELECT coalesce(top.key, '(other)') AS key, {_SUMS} FROM facts LEFT JOIN top ON facts.session = top.key GROUP BY 1",
     "usage_totals": f"WITH {_FACTS} SELECT {_SUMS} FROM facts",
     "usage_model_window": _grouped(_wall("%Y-%m-%d"), f"model_key = 'model-a' AND ts_ms >= {MIDDLE}"),
-    "usage_against_before": f"WITH {_FACTS}, g AS (SELECT harness, round(sum(cost) FILTER (WHERE ts_ms >= {MIDDLE} AND ts_ms < {NOW}), 6) AS cost, round(sum(cost) FILTER (WHERE ts_ms >= {2 * MIDDLE - NOW} AND ts_ms < {MIDDLE}), 6) AS cost_before FROM facts GROUP BY 1) SELECT *, round(cost / {(NOW - MIDDLE) / 86_400_000!r}, 6) AS daily_mean FROM g",
-    "usage_share_of_day": f"WITH {_FACTS}, g AS (SELECT {_wall('%Y-%m-%d')} AS day, model_key, sum(cost) AS c FROM facts WHERE is_step = 1 GROUP BY ALL) SELECT day, model_key, round(c, 6) AS cost, round(c / sum(c) OVER (PARTITION BY day), 6) AS share FROM g",
-    "session_steps": f"WITH {_STEPS} SELECT session, event, step_idx, turn, ts_ms, model, model_key, input, round(cost, 6) AS cost FROM steps",
-    "session_totals": f"WITH {_STEPS}, g AS (SELECT session, count(*) AS steps, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, round(sum(cost), 6) AS cost, arg_max(prompt, step_idx) AS context_tokens, arg_max(model_key, step_idx) AS last_model FROM steps GROUP BY 1), h AS (SELECT *, CAST(CASE last_model WHEN 'model-a' THEN 200000 WHEN 'model-b' THEN 100000 END AS BIGINT) AS context_limit FROM g) SELECT *, round(context_tokens * 100.0::DOUBLE / context_limit, 6) AS context_pct FROM h",
-    "session_turns": f"WITH {_STEPS}, b AS (SELECT session, turn, ts_ms, 1 AS s, 0 AS p, input, output, cost FROM steps UNION ALL SELECT session, turn, ts_ms, 0, 1, 0, 0, NULL FROM turned WHERE kind = 'user_message' AND first) SELECT session, turn, min(ts_ms) AS started_at, CAST(sum(s) AS BIGINT) AS steps, CAST(sum(p) AS BIGINT) AS prompts, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, round(sum(cost), 6) AS cost FROM b GROUP BY session, turn",
-    "models_seen": f"WITH {_STEPS} SELECT coalesce(model, '') AS model, model_key, count(*) AS steps, count(DISTINCT session) AS sessions, round(sum(cost), 6) AS cost FROM steps GROUP BY 1, 2",
+    "usage_against_before": f"WITH {_FACTS}, g AS (SELECT harness, CAST(sum(pico) FILTER (WHERE ts_ms >= {MIDDLE} AND ts_ms < {NOW}) AS DOUBLE) / 1e12 AS cost, CAST(sum(pico) FILTER (WHERE ts_ms >= {2 * MIDDLE - NOW} AND ts_ms < {MIDDLE}) AS DOUBLE) / 1e12 AS cost_before FROM facts GROUP BY 1) SELECT *, cost / {(NOW - MIDDLE) / 86_400_000!r}::DOUBLE AS daily_mean FROM g",
+    "usage_share_of_day": f"WITH {_FACTS}, g AS (SELECT {_wall('%Y-%m-%d')} AS day, model_key, sum(pico) AS c FROM facts WHERE is_step = 1 GROUP BY ALL) SELECT day, model_key, CAST(c AS DOUBLE) / 1e12 AS cost, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY day) AS DOUBLE) AS share FROM g",
+    "session_steps": f"WITH {_STEPS} SELECT session, event, step_idx, turn, ts_ms, model, model_key, input, CAST(pico AS DOUBLE) / 1e12 AS cost FROM steps",
+    "session_totals": f"WITH {_STEPS}, g AS (SELECT session, count(*) AS steps, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, {_USD} AS cost, arg_max(prompt, step_idx) AS context_tokens, arg_max(model_key, step_idx) AS last_model FROM steps GROUP BY 1), h AS (SELECT *, CAST(CASE last_model WHEN 'model-a' THEN 200000 WHEN 'model-b' THEN 100000 END AS BIGINT) AS context_limit FROM g) SELECT *, context_tokens * 100.0::DOUBLE / context_limit AS context_pct FROM h",
+    "session_turns": f"WITH {_STEPS}, b AS (SELECT session, turn, ts_ms, 1 AS s, 0 AS p, input, output, pico FROM steps UNION ALL SELECT session, turn, ts_ms, 0, 1, 0, 0, NULL FROM turned WHERE kind = 'user_message' AND first) SELECT session, turn, min(ts_ms) AS started_at, CAST(sum(s) AS BIGINT) AS steps, CAST(sum(p) AS BIGINT) AS prompts, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, {_USD} AS cost FROM b GROUP BY session, turn",
+    "cost_parts": f"WITH {_STEPS}, c AS (SELECT *, {_SOURCE} AS source, CASE WHEN model_key = 'model-b' THEN 1 WHEN model_key <> 'model-a' THEN NULL WHEN ts_ms < {MIDDLE} THEN 3 WHEN prompt > 3000 THEN 6 ELSE 4 END AS i, CASE WHEN model_key = 'model-b' THEN 5 WHEN model_key <> 'model-a' THEN NULL WHEN ts_ms < {MIDDLE} THEN 15 WHEN prompt > 3000 THEN 30 ELSE 20 END AS o FROM steps) SELECT session, source, " + ", ".join(f"CAST(sum({c}) AS DOUBLE) / 1e12 AS cost_{n}" for n, c in (("input", "input * i * 1000000"), ("output", "output * o * 1000000"), ("cache_read", "cache_read * i * 100000"), ("cache_write", "cache_write * i * 1250000"))) + " FROM c GROUP BY 1, 2",
+    "cost_reported": f"WITH {_STEPS}, c AS (SELECT session, CASE WHEN output % 9 = 0 AND output > 0 THEN 'harness' ELSE {_SOURCE} END AS source, CASE WHEN output % 9 = 0 AND output > 0 THEN output * 976562500 ELSE pico END AS pico FROM steps) SELECT session, source, count(*) AS steps, count(*) FILTER (WHERE pico IS NULL) AS unpriced, {_USD} AS cost FROM c GROUP BY 1, 2",
+    "models_seen": f"WITH {_STEPS} SELECT coalesce(model, '') AS model, model_key, count(*) AS steps, count(DISTINCT session) AS sessions, {_USD} AS cost FROM steps GROUP BY 1, 2",
     "turn_numbering": f"WITH {_TURNED} SELECT session, seq, id, kind, first, turn, fill FROM turned",
     "event_upsert": f"WITH {_LATEST} SELECT session, id, seq, kind, input FROM latest",
-    "price_asof": "SELECT p_brand AS model, count(*) AS n, round(sum(l_quantity * (year(l_shipdate) % 7 + 1)), 2) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    "price_asof": "SELECT p_brand AS model, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT) * (year(l_shipdate) % 7 + 1)) AS DOUBLE) * 1e6 / 1e12 * 1e6 AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "price_consensus": "WITH o AS (SELECT lower(p_brand) AS match_key, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_retailprice END AS i, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size * 2.0::DOUBLE END AS o FROM part), k AS (SELECT *, max(CASE WHEN i > 0 OR o > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY match_key) AS any_paid FROM o) SELECT match_key, round(median(i), 6) AS input, round(median(o), 6) AS output, count(*) AS n_offers FROM k WHERE i > 0 OR o > 0 OR any_paid = 0 GROUP BY 1",
-    "family_totals": f"WITH RECURSIVE {_STEPS}, {_SESSIONS.removeprefix(_RAW).lstrip(',')}{_PAIRS}, u AS (SELECT session, count(*) AS steps, sum(input) AS input, sum(output) AS output, sum(cost) AS cost FROM steps GROUP BY 1), b AS (SELECT ancestor AS root, session, 1 AS n FROM pairs UNION ALL SELECT DISTINCT ancestor, ancestor, 0 FROM pairs) SELECT root, CAST(sum(n) AS BIGINT) AS sessions, CAST(coalesce(sum(steps), 0) AS BIGINT) AS steps, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, round(sum(cost), 6) AS cost FROM b LEFT JOIN u ON b.session = u.session GROUP BY 1",
+    "family_totals": f"WITH RECURSIVE {_STEPS}, {_SESSIONS.removeprefix(_RAW).lstrip(',')}{_PAIRS}, u AS (SELECT session, count(*) AS steps, sum(input) AS input, sum(output) AS output, sum(pico) AS pico FROM steps GROUP BY 1), b AS (SELECT ancestor AS root, session, 1 AS n FROM pairs UNION ALL SELECT DISTINCT ancestor, ancestor, 0 FROM pairs) SELECT root, CAST(sum(n) AS BIGINT) AS sessions, CAST(coalesce(sum(steps), 0) AS BIGINT) AS steps, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, {_USD} AS cost FROM b LEFT JOIN u ON b.session = u.session GROUP BY 1",
     "family_ancestors": f"WITH RECURSIVE {_SESSIONS}{_PAIRS} SELECT session, ancestor, depth FROM pairs",
     "status_effective": f"WITH {_LATEST}, a AS (SELECT *, CASE WHEN kind = 'turn_end' THEN 'idle' ELSE 'work' END AS s FROM latest WHERE kind NOT IN ('usage', 'system')), b AS (SELECT *, max(ts_ms) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, coalesce(lag(s) OVER (PARTITION BY session ORDER BY seq) <> s, true) AS flip FROM a), c AS (SELECT session, arg_max(s, seq) AS s, arg_max(kind, seq) AS reason, max(run) AS last, arg_max(run, seq) FILTER (WHERE flip) AS since FROM b GROUP BY 1), d AS (SELECT *, CASE WHEN reason = 'assistant_message' THEN 90000 ELSE 600000 END AS w FROM c), f AS (SELECT *, s = 'work' AND {NOW} - last > w AS over_ FROM d) SELECT session, CASE WHEN over_ THEN 'idle' ELSE s END AS status, CASE WHEN over_ THEN last + w ELSE since END AS since, CASE WHEN over_ THEN 'stale' ELSE reason END AS reason, last FROM f",
     "events_page": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS rn FROM latest WHERE seq < 5000) SELECT session, id, seq, kind FROM r WHERE rn <= 3",
     "events_oldest": f"WITH {_LATEST}, r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY seq) AS rk FROM latest) SELECT session, id, seq, kind FROM r WHERE rk <= 2",
-    "events_around": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn, count(*) OVER (PARTITION BY session) AS n FROM latest), a AS (SELECT session, min(seq) AS seq FROM latest WHERE seq % 50 = 0 GROUP BY 1), p AS (SELECT r.session, rn, n, least(n - rn, 4 - least(2, rn - 1)) AS after FROM r JOIN a ON r.session = a.session AND r.seq = a.seq) SELECT r.session, r.id, r.seq, r.kind FROM r JOIN p ON r.session = p.session AND r.rn BETWEEN p.rn - least(p.rn - 1, 4 - after) AND p.rn + after",
+    "events_around": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn, count(*) OVER (PARTITION BY session) AS n FROM latest), a AS (SELECT session, min(seq) AS seq FROM latest WHERE kind <> 'system' GROUP BY 1), p AS (SELECT r.session, rn, n, least(n - rn, 4 - least(2, rn - 1)) AS after FROM r JOIN a ON r.session = a.session AND r.seq = a.seq) SELECT r.session, r.id, r.seq, r.kind FROM r JOIN p ON r.session = p.session AND r.rn BETWEEN p.rn - least(p.rn - 1, 4 - after) AND p.rn + after",
     "trajectory_items": f"WITH {_TURNED}, a AS (SELECT *, first_value(CASE WHEN kind = 'usage' THEN id END IGNORE NULLS) OVER w AS step, first_value(CASE WHEN kind = 'usage' THEN ts_ms END IGNORE NULLS) OVER w AS step_ended_at FROM turned WHERE first WINDOW w AS (PARTITION BY session, turn ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT session, turn, seq, id, kind, step, step_ended_at FROM a WHERE kind <> 'usage'",
     "sessions_filtered": f"WITH {_SESSIONS} SELECT session, harness, updated_at FROM sessions WHERE harness IN ('alpha', 'beta') AND contains(lower(cwd), 'repo1') AND updated_at >= {MIDDLE}",
     "sessions_not_filtered": f"WITH {_SESSIONS} SELECT session, parent FROM sessions WHERE NOT (parent IS NOT NULL AND session LIKE 'alpha:%')",

@@ -69,3 +69,13 @@ def match_key(model: Column) -> Column:
 def strip_date(model: Column) -> Column:
     """A name without a trailing date."""
     return F.regexp_replace(model, r"([-@]\d{8}|-\d{4}-\d{2}-\d{2})$", "")
+
+
+def usd(pico: Column) -> Column:
+    """US dollars of a whole number of 1e-12 dollars."""
+    return pico.cast("double") / 1e12
+
+
+def usd_sum(pico: str | Column) -> Column:
+    """US dollars of a sum, which is exact up to the one division; null where nothing is priced."""
+    return usd(F.sum((F.col(pico) if isinstance(pico, str) else pico).cast("decimal(28,0)")))

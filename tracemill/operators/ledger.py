@@ -47,8 +47,9 @@ def steps(events: DataFrame) -> DataFrame:
 
 
 def prompts(events: DataFrame) -> DataFrame:
-    """First deliveries of what users wrote."""
-    return events.where("kind = 'user_message' and first")
+    """First deliveries of what users wrote; what a harness wrote in their place (``synthetic``) is left out."""
+    asked = events.where("kind = 'user_message' and first")
+    return asked.where("not coalesce(synthetic, false)") if "synthetic" in events.columns else asked
 
 
 def final_models(events: DataFrame) -> DataFrame:

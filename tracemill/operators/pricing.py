@@ -56,20 +56,34 @@ def model_map(models: DataFrame, catalog: DataFrame) -> DataFrame:
     return best.select("model", F.when(F.col("b.rank") == 0, F.lit("exact")).otherwise(F.lit("approx")).alias("match_kind"), "b.id")
 
 
+PARTS = ("input", "output", "cache_read", "cache_write")
+
+
 def priced(steps: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Steps with ``model_key`` and ``cost`` (null where no price is known).
+    """Steps with ``model_key``, ``pico`` (cost in whole 1e-12 USD, null where no price is known), its parts and ``source``.
 
-    The segment is the last that began by the step's time, else the first; the tier the highest that the prompt is above;
-    a missing cache-write price is 1.25 of the input price. A step without tokens costs nothing.
+    Rates are USD per million tokens, read to six places, so that costs are exact whole numbers and sum alike in any
+    order. The segment is the last that began by the step's time, else the first; the tier the highest that the prompt is
+    above; a missing cache-write price is 1.25 of the input price. A positive ``reported`` cost (USD) comes before the
+    catalog; a step without any tokens, reasoning included, costs nothing whatever its model.
     """
-    known = model_map(steps, catalog).join(catalog.select("id", "prices"), "id").withColumnRenamed("id", "id_")
+    known = F.broadcast(model_map(steps, catalog).join(catalog.select("id", "prices"), "id").withColumnRenamed("id", "id_"))
     with_price = steps.join(known, "model", "left")
     segment = F.expr("coalesce(try_element_at(filter(prices, s -> s.from <= ts_ms), -1), try_element_at(prices, 1))")
     out = with_price.withColumn("seg", segment).withColumn("prompt", F.col("input") + F.col("cache_read") + F.col("cache_write"))
     out = out.withColumn("tier", F.expr("array_max(filter(seg.tiers, t -> prompt > t.above))"))
-    rate = lambda name: F.coalesce(f"tier.{name}", f"seg.{name}")
-    write = F.when(F.col("tier").isNotNull(), F.coalesce("tier.cache_write", F.col("tier.input") * 1.25)).otherwise(F.coalesce("seg.cache_write", F.col("seg.input") * 1.25))
-    cost = (F.col("input") * rate("input") + F.col("output") * rate("output") + F.col("cache_read") * rate("cache_read") + F.col("cache_write") * write) / 1e6
-    nothing = (F.col("prompt") + F.col("output")) == 0
+    micro = lambda rate: F.round(rate * 1e6).cast("bigint")
+    rate = {name: micro(F.coalesce(f"tier.{name}", f"seg.{name}")) for name in PARTS[:3]}
+    own_write = F.when(F.col("tier").isNotNull(), F.col("tier.cache_write")).otherwise(F.col("seg.cache_write"))
+    base = micro(F.when(F.col("tier").isNotNull(), F.col("tier.input")).otherwise(F.col("seg.input")))
+    rate["cache_write"] = F.coalesce(micro(own_write), F.floor(base * 5 / 4).cast("bigint"))
+    each = {name: F.col(name) * rate[name] for name in PARTS}
+    catalog_cost = each["input"] + each["output"] + each["cache_read"] + each["cache_write"]
+    reported = F.col("reported") if "reported" in steps.columns else F.lit(None).cast("double")
+    told = F.when((reported > 0) & (reported < float("inf")), F.round(reported * 1e12).cast("bigint"))
+    nothing = (F.col("prompt") + F.col("output") + F.col("reasoning")) == 0
     key = F.when(F.coalesce("model", F.lit("")) == "", F.lit("")).when(F.col("match_kind") == "exact", F.col("id_")).otherwise(base_name(F.col("model")))
-    return out.withColumn("model_key", key).withColumn("cost", F.coalesce(cost, F.when(nothing, F.lit(0.0)))).drop("prices", "seg", "tier", "prompt", "match_kind", "id_")
+    source = F.when(told.isNotNull(), "harness").when(catalog_cost.isNotNull(), F.when(F.col("match_kind") == "exact", "catalog").otherwise("approx"))
+    parts = [F.when(told.isNull(), each[name]).alias(f"pico_{name}") for name in PARTS]
+    kept = [F.col(f"`{c}`") for c in steps.columns]
+    return out.select(*kept, key.alias("model_key"), F.coalesce(told, catalog_cost, F.when(nothing, F.lit(0).cast("bigint"))).alias("pico"), *parts, source.alias("source"))

@@ -6,28 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import base_name, below, civil, first_parts, weekday
+from ..functions.columns import base_name, below, civil, first_parts, usd, usd_sum, weekday
+from ..storage import settled
 from . import ledger, pricing
 
 SUMS = ("input", "output", "cache_read", "cache_write", "reasoning")
 
 
 def steps_of(raw: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(priced steps, deliveries with turns) of raw events."""
-    events = ledger.turned(raw)
-    found = ledger.steps(events).withColumnRenamed("id", "event")
+    """(priced steps, deliveries with turns) of raw events; what both are read from is written once."""
+    events = settled(ledger.turned(raw))
+    found = settled(ledger.steps(events).withColumnRenamed("id", "event"))
     return pricing.priced(found, catalog), events
 
 
-def facts(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+def facts(steps: DataFrame, events: DataFrame) -> DataFrame:
     """Steps and prompts in one shape. A prompt counts for the model of its turn's first step, else for the session's last model."""
-    steps, events = steps_of(raw, catalog)
     first = steps.groupBy("session", "turn").agg(F.min_by("model_key", "seq").alias("turn_model"))
     asked = ledger.prompts(events).join(first, ["session", "turn"], "left").join(ledger.final_models(events), "session", "left")
     zero = [F.lit(0).cast("bigint").alias(c) for c in SUMS]
     common = ["session", "harness", "cwd", "ts_ms"]
-    a = steps.select(*common, "model_key", F.lit(1).alias("is_step"), F.lit(0).alias("is_prompt"), *SUMS, "cost", F.col("cost").isNull().cast("int").alias("unpriced"))
-    b = asked.select(*common, F.coalesce("turn_model", base_name(F.col("final_model")), F.lit("")).alias("model_key"), F.lit(0).alias("is_step"), F.lit(1).alias("is_prompt"), *zero, F.lit(None).cast("double").alias("cost"), F.lit(0).alias("unpriced"))
+    a = steps.select(*common, "model_key", F.lit(1).alias("is_step"), F.lit(0).alias("is_prompt"), *SUMS, "pico", F.col("pico").isNull().cast("int").alias("unpriced"))
+    b = asked.select(*common, F.coalesce("turn_model", base_name(F.col("final_model")), F.lit("")).alias("model_key"), F.lit(0).alias("is_step"), F.lit(1).alias("is_prompt"), *zero, F.lit(None).cast("bigint").alias("pico"), F.lit(0).alias("unpriced"))
     return a.unionByName(b)
 
 
@@ -53,7 +53,7 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def summed(rows: DataFrame, *keys: str) -> DataFrame:
     sums = [F.sum(c).cast("bigint").alias(c) for c in SUMS]
-    return rows.groupBy(*keys).agg(F.count_distinct("session").alias("sessions"), F.sum("is_step").cast("bigint").alias("steps"), F.sum("is_prompt").cast("bigint").alias("prompts"), *sums, F.round(F.sum("cost"), 6).alias("cost"), F.sum("unpriced").cast("bigint").alias("unpriced"))
+    return rows.groupBy(*keys).agg(F.count_distinct("session").alias("sessions"), F.sum("is_step").cast("bigint").alias("steps"), F.sum("is_prompt").cast("bigint").alias("prompts"), *sums, usd_sum("pico").alias("cost"), F.sum("unpriced").cast("bigint").alias("unpriced"))
 
 
 def chosen(rows: DataFrame, since: int | None = None, until: int | None = None, model: str | None = None, under: str | None = None) -> DataFrame:
@@ -80,22 +80,22 @@ def folded(rows: DataFrame, by: str, limit: int) -> DataFrame:
 def session_totals(steps: DataFrame, catalog: DataFrame) -> DataFrame:
     """Sums of each session, the context of its last step and the limit of that step's model."""
     context = F.col("input") + F.col("cache_read") + F.col("cache_write")
-    totals = steps.groupBy("session").agg(F.count("*").alias("steps"), F.sum("input").cast("bigint").alias("input"), F.sum("output").cast("bigint").alias("output"), F.round(F.sum("cost"), 6).alias("cost"), F.max_by(context, "step_idx").alias("context_tokens"), F.max_by("model_key", "step_idx").alias("last_model"))
+    totals = steps.groupBy("session").agg(F.count("*").alias("steps"), F.sum("input").cast("bigint").alias("input"), F.sum("output").cast("bigint").alias("output"), usd_sum("pico").alias("cost"), F.max_by(context, "step_idx").alias("context_tokens"), F.max_by("model_key", "step_idx").alias("last_model"))
     limits = catalog.select(F.col("id").alias("last_model"), "context_limit")
-    return totals.join(limits, "last_model", "left").withColumn("context_pct", F.round(F.col("context_tokens") * 100.0 / F.col("context_limit"), 6))
+    return totals.join(limits, "last_model", "left").withColumn("context_pct", F.col("context_tokens") * 100.0 / F.col("context_limit"))
 
 
 def turn_totals(steps: DataFrame, prompts: DataFrame) -> DataFrame:
     """Steps, prompts, tokens and cost of each turn, and its earliest known time."""
-    a = steps.select("session", "turn", "ts_ms", F.lit(1).alias("s"), F.lit(0).alias("p"), "input", "output", "cost")
-    b = prompts.select("session", "turn", "ts_ms", F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).cast("bigint").alias("input"), F.lit(0).cast("bigint").alias("output"), F.lit(None).cast("double").alias("cost"))
-    return a.unionByName(b).groupBy("session", "turn").agg(F.min(F.when(F.col("ts_ms") > 0, F.col("ts_ms"))).alias("started_at"), F.sum("s").cast("bigint").alias("steps"), F.sum("p").cast("bigint").alias("prompts"), F.sum("input").cast("bigint").alias("input"), F.sum("output").cast("bigint").alias("output"), F.round(F.sum("cost"), 6).alias("cost"))
+    a = steps.select("session", "turn", "ts_ms", F.lit(1).alias("s"), F.lit(0).alias("p"), "input", "output", "pico")
+    b = prompts.select("session", "turn", "ts_ms", F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).cast("bigint").alias("input"), F.lit(0).cast("bigint").alias("output"), F.lit(None).cast("bigint").alias("pico"))
+    return a.unionByName(b).groupBy("session", "turn").agg(F.min(F.when(F.col("ts_ms") > 0, F.col("ts_ms"))).alias("started_at"), F.sum("s").cast("bigint").alias("steps"), F.sum("p").cast("bigint").alias("prompts"), F.sum("input").cast("bigint").alias("input"), F.sum("output").cast("bigint").alias("output"), usd_sum("pico").alias("cost"))
 
 
 def models_seen(steps: DataFrame) -> DataFrame:
     """A row a raw model name: its key, steps, sessions and cost."""
     named = steps.withColumn("model", F.coalesce("model", F.lit("")))
-    return named.groupBy("model", "model_key").agg(F.count("*").alias("steps"), F.count_distinct("session").alias("sessions"), F.round(F.sum("cost"), 6).alias("cost"))
+    return named.groupBy("model", "model_key").agg(F.count("*").alias("steps"), F.count_distinct("session").alias("sessions"), usd_sum("pico").alias("cost"))
 
 
 def against_before(rows: DataFrame, since: int, until: int) -> DataFrame:
@@ -103,13 +103,13 @@ def against_before(rows: DataFrame, since: int, until: int) -> DataFrame:
     days = (until - since) / 86_400_000
     inside = (F.col("ts_ms") >= since) & (F.col("ts_ms") < until)
     before = (F.col("ts_ms") >= 2 * since - until) & (F.col("ts_ms") < since)
-    out = rows.groupBy("harness").agg(F.round(F.sum(F.when(inside, F.col("cost"))), 6).alias("cost"), F.round(F.sum(F.when(before, F.col("cost"))), 6).alias("cost_before"))
-    return out.withColumn("daily_mean", F.round(F.col("cost") / days, 6))
+    out = rows.groupBy("harness").agg(usd_sum(F.when(inside, F.col("pico"))).alias("cost"), usd_sum(F.when(before, F.col("pico"))).alias("cost_before"))
+    return out.withColumn("daily_mean", F.col("cost") / days)
 
 
 def share_of_day(rows: DataFrame) -> DataFrame:
     """Cost by day and model, with its share of the day."""
     keyed = rows.withColumn("root", F.lit(None).cast("string")).withColumn("day", dimension("day")).where("is_step = 1")
-    each = keyed.groupBy("day", "model_key").agg(F.sum("cost").alias("cost"))
-    share = F.col("cost") / F.sum("cost").over(Window.partitionBy("day"))
-    return each.select("day", "model_key", F.round("cost", 6).alias("cost"), F.round(share, 6).alias("share"))
+    each = keyed.groupBy("day", "model_key").agg(F.sum(F.col("pico").cast("decimal(28,0)")).alias("pico"))
+    share = F.col("pico").cast("double") / F.sum("pico").over(Window.partitionBy("day")).cast("double")
+    return each.select("day", "model_key", usd(F.col("pico")).alias("cost"), share.alias("share"))

@@ -4,14 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a local folder where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in spark.checkpoint.dir: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    path = f"{folder.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+    """The same rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/tracemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build`` makes from ``source``, written the first time an application asks for it and again when the source's size or time has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, changed = fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, name, source, size, changed)
+    if key not in _KEPT:
+        _KEPT[key] = settled(build())
+    return _KEPT[key]
