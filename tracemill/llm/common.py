@@ -57,6 +57,11 @@ def small(written: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(written) if rows <= BROADCAST_ROWS else written
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A table of a few numbers a row in no more tasks than its counted rows need."""
+    return df.coalesce(1 + rows // 250_000)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where the table has a column of that name."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -82,18 +87,19 @@ def components(links: DataFrame, rounds: int = 60) -> tuple[DataFrame, int]:
     are few; otherwise a hub, or a root that very many nodes have, is a hot key of one side only, the other has a row a
     key, which is what Spark splits skewed joins on.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label, n = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), rows=True)
+    both, m = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), rows=True)
+    both = packed(both, m)
+    label, n = saved(packed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), m), rows=True)
     for _ in range(rounds if n else 0):
         seen = both.join(small(label.select(F.col("node").alias("b"), F.col("root").alias("near")), n), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = label.join(seen, label.node == seen.a, "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        step = label.join(small(seen, n), label.node == seen.a, "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        seen_rows = Observation()
+        changes = Observation()
         new = step.join(small(jump, n), "mid", "left").select("node", "old", F.least("mid", "far").alias("root"))
-        written = saved(new.observe(seen_rows, F.count_if(F.col("root") != F.col("old")).alias("changed")).select("node", "root"))
+        written = saved(packed(new.observe(changes, F.count_if(F.col("root") != F.col("old")).alias("changed")).select("node", "root"), n))
         dropped(label)
         label = written
-        if not seen_rows.get["changed"]:
+        if not changes.get["changed"]:
             dropped(both)
             return label, n
     if n:
