@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tests.oracle import compare
-from tracemill.llm import decontaminate, licenses, lines, mixing, queries, quality, secrets, simhash, suffixes, toxicity, urls
+from tracemill.llm import decontaminate, licenses, mixing, queries, quality, secrets, simhash, suffixes, toxicity, urls
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, h bigint"
 
@@ -204,50 +204,6 @@ def edits(a, b):
     return last[-1]
 
 
-def test_line_fingerprints(spark):
-    """A bit is set if over half of a line's distinct word hashes have it, for lines of one word to more than a row of counters takes."""
-    rng = random.Random(4)
-    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in (1, 2, 6, 7, 8, 13, 14, 15, 100, 700, lines.LANE, lines.LANE + 1, 2 * lines.LANE + 5)]
-    texts += ["A b  a,B -- c\n ...\n\n\u00dcber \u03a3\u03a3 \u65e5\u672c 12\n -x y- ", " \n", "", None]
-    made = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    want = set()
-    for d, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
-            if norm:
-                hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in set(norm.split(" "))]
-                want.add((d, k, xxhash.xxh64(norm.encode(), seed=42).hexdigest(), sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
-    got = {(r["doc_id"], r["line"], f"{r['h'] & (1 << 64) - 1:016x}", r["fp"] & (1 << 64) - 1) for r in lines.lines_of(made).collect()}
-    assert got == want
-
-
-def test_lines(spark):
-    rng = random.Random(9)
-    words = [f"word{n}" for n in range(40)]
-    base = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(12)]
-    texts = [base[0] + "\n" + base[1] + "\n\n" + base[2], base[1].upper() + "!\n" + base[3] + "\r\n" + base[0], None, "", "...\n...", " ".join(rng.choice(words) for _ in range(20000)), base[4] + "\n" + base[4] + "\n" + base[4][:-1], "\n".join(base)]
-    texts += ["\n".join(b.replace("word1", "word2", 1) for b in base), " ".join([base[5]] * 30), " ".join([base[5]] * 30) + " tail"]
-    made = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], "doc_id bigint, text string, h string")
-    got = {r["doc_id"]: r for r in lines.dedup(made).collect()}
-    info = lines.lines_of(made).withColumn("place", F.struct("doc_id", "line")).collect()
-    norm = {(r["doc_id"], r["line"]): re.sub(r"[\W_]+", " ", texts[r["doc_id"]].split("\n")[r["line"]].lower()).strip() for r in info}
-    fp = {(r["doc_id"], r["line"]): r["fp"] for r in info}
-
-    def near(a, b):
-        if norm[a] == norm[b]:
-            return True
-        if bin((fp[a] ^ fp[b]) & (1 << 64) - 1).count("1") > lines.DISTANCE:
-            return False
-        most = max(len(norm[a]), len(norm[b]))
-        return edits(norm[a], norm[b]) <= 0.2 * most
-
-    root = parts(sorted(norm), near)
-    for n, t in enumerate(texts):
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if root.get((n, k), (n, k)) == (n, k))
-        assert got[n]["text"] == want
-    assert lines.dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-
-
 def test_mixing(spark, docs, rows):
     tokens = {"a": 1000, "b": 100, "c": 10}
     x = mixing.exponent_for(tokens, 1110.0)

@@ -39,7 +39,7 @@ def saved(df: DataFrame, rows: bool = False) -> DataFrame | tuple[DataFrame, int
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows")) if rows else df
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     return (found, seen.get["rows"]) if rows else found
 

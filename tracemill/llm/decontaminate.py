@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, only, saved, table
+from .common import LOWER, UPPER, fresh, only, saved, table
 
 WINDOW, SHINGLE = 10, 3
 #: Distinct benchmark shingles up to which their table is broadcast; beyond it Spark shuffles both sides.
@@ -49,9 +49,9 @@ NO_ID = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, t, text) of every row."""
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    return whole.select("d", F.xxhash64("text").alias("t"), "text")
+    """(doc_id, d, t, text) of every row."""
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
+    return whole.select("doc_id", "d", F.xxhash64("text").alias("t"), "text")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -92,9 +92,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     spans = hits.select("d", "t", "start", "length").distinct()
     marked = spans.select("d", "t", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("d", "t").agg(F.count("*").alias("n_hit"))
     items_of = hits.select("d", "t", F.coalesce("item_id", F.lit("")).alias("item_id")).distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    counted = keyed(docs).select("d", "t", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    counted = keyed(docs).select("doc_id", "d", "t", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     out = counted.join(marked.join(items_of, ["d", "t"]), ["d", "t"], "left")
-    return out.select(F.expr(f"nullif(d, {NO_ID})").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,11 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without those that hold a window of an item, all columns as they came."""
-    hit = occurrences(docs, items).select("d", "t").distinct().withColumnsRenamed({"d": "_d", "t": "_t"})
-    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_t"))
+    """The documents without those that hold a window of an item, all columns as they came.
+
+    Null and empty texts stay; rows are judged each by their own text, whatever their ids; an empty benchmark keeps all.
+    """
+    d, t = fresh(docs, "d", "t")
+    hit = occurrences(docs, items).select(F.col("d").alias(d), F.col("t").alias(t)).distinct()
+    same = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
     return docs.join(hit, same, "left_anti")

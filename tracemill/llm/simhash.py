@@ -62,7 +62,9 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     """
     assert most == 2, "balls of radius one meet at distance two"
     flip = "if(bit < 0, 0L, shiftleft(1L, bit))"
-    balls = fps.select("fp", F.explode(F.expr(f"sequence(-1, {BITS - 1})")).alias("bit"))
+    # Each fingerprint becomes 65 rows, so they are dealt out before that.
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = dealt.select("fp", F.explode(F.expr(f"sequence(-1, {BITS - 1})")).alias("bit"))
     points = balls.select(F.expr(f"fp ^ {flip}").alias("point"), F.expr(flip).alias("mask"), F.expr("if(bit < 0, 1, 0)").alias("own"))
     entries = points.groupBy("point").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where("bit_count(mask) + own > 1")
     members = f"concat(transform(filter(sequence(0, {BITS - 1}), k -> (mask & shiftleft(1L, k)) <> 0), k -> point ^ shiftleft(1L, k)), if(own = 1, array(point), array()))"
@@ -105,4 +107,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     placed = saved(found.join(named, "row"))
     firsts = placed.groupBy("component_id").agg(F.min("place").alias("kept"))
     drop = placed.join(firsts, "component_id").where("row <> kept.row").select(F.col("row").alias(row))
-    return rows.join(drop, row, "left_anti").select(docs.columns)
+    return rows.join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import fresh, only, table
 
 BUCKETS, FACTORS = 1 << 18, 8
 #: Labelled rows to learn from, at most, by the order of a hash of doc_id.
@@ -186,4 +186,5 @@ def clean(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
     names = docs.columns
-    return docs.select("*", terms(F.col("text").cast("string")).alias("_terms")).mapInArrow(run, docs.schema)
+    (own_terms,) = fresh(docs, "terms")
+    return docs.select("*", terms(F.col("text").cast("string")).alias(own_terms)).mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from .common import LOWER, UPPER, saved, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DEPTH, CHILDREN, COMMON = 5, 32, 0.2
+CHILDREN, COMMON = 32, 0.2
 #: Weight of the parent's purity, the test's bound, and the purity from which a template is rejected.
 PRIOR, BOUND, REJECT = 5.0, 1.96, 0.8
 
@@ -38,13 +38,13 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES)
 
 
 def segments(path: Column) -> Column:
-    """The path's first DEPTH segments (what follows is one placeholder), variable ones replaced by their kind."""
+    """The path's segments, variable ones replaced by their kind."""
     all_of = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def kind(s: Column) -> Column:
-        return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("{h}")).when(F.length(s) > 64, F.lit("{long}")).otherwise(s)
+        return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("{h}")).otherwise(s)
 
-    return F.concat(F.transform(F.slice(all_of, 1, DEPTH), kind), F.when(F.size(all_of) > DEPTH, F.array(F.lit("{rest}"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(all_of, kind)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -67,14 +67,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: D
     overall = (share["b"] or 0) / share["l"] if share["l"] else 0.0
     tree = tree.withColumn("prefix", F.lit("")).withColumn("purity", F.lit(None).cast("double")).withColumn("template", F.lit(""))
     tree = saved(_settle(tree, 0, overall))
-    for k in range(DEPTH + 1):
+    k = 0
+    # Below the deepest label no branch can differ from its parent.
+    while tree.where((F.size("seg") > k) & (F.col("lab") > 0)).limit(1).count():
         tree = tree.withColumn("s", F.get("seg", F.lit(k)))
         here = tree.where("s is not null").groupBy("host", "prefix", "s").agg(F.sum("n").alias("c"))
         wide = here.groupBy("host", "prefix").agg(F.count("*").alias("kids"), F.max("c").alias("top"), F.sum("c").alias("all")).where((F.col("kids") > CHILDREN) & (F.col("top") < COMMON * F.col("all"))).select("host", "prefix", F.lit(True).alias("wild"))
         tree = tree.join(wide, ["host", "prefix"], "left")
         step = F.when(F.col("wild"), F.lit("{*}")).otherwise(F.col("s"))
         tree = tree.withColumn("prefix", F.when(F.col("s").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), step))).drop("wild")
-        tree = saved(_settle(tree, k + 1, overall))
+        k += 1
+        tree = saved(_settle(tree, k, overall))
+    tree = tree.withColumn("template", F.concat("template", F.repeat(F.lit("/{*}"), F.greatest(F.size("seg") - k, F.lit(0)))))
     found = tree.select(F.col("host").alias("t_host"), F.col("seg").alias("t_seg"), "template", "purity")
     out = rows.join(found, (F.col("host") == F.col("t_host")) & (F.col("seg") == F.col("t_seg")))
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
