@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII upper and lower case, for folding A-Z and nothing else.
@@ -33,15 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, rows: bool = False) -> DataFrame | tuple[DataFrame, int]:
     """The same rows, written once as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
-    With ``rows`` also their number, counted while they are written.
+    With ``rows`` also their number, which the files tell without being read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
-    seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("rows")) if rows else df
-    out.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
-    return (found, seen.get["rows"]) if rows else found
+    return (found, found.count()) if rows else found
 
 
 def dropped(written: DataFrame) -> None:
@@ -83,7 +81,7 @@ def components(links: DataFrame, rounds: int = 60) -> tuple[DataFrame, int]:
 
     Each round every node takes the smallest label among itself and its neighbours, then the label of its label (pointer
     jumping), so long chains need few rounds. Labels are written once a round and the round's before is deleted; nothing
-    goes to the driver but two counts. ``min`` is combined before its shuffle. Labels are joined by broadcast where they
+    goes to the driver but a count a round. ``min`` is combined before its shuffle. Labels are joined by broadcast where they
     are few; otherwise a hub, or a root that very many nodes have, is a hot key of one side only, the other has a row a
     key, which is what Spark splits skewed joins on.
     """
@@ -94,12 +92,11 @@ def components(links: DataFrame, rounds: int = 60) -> tuple[DataFrame, int]:
         seen = both.join(small(label.select(F.col("node").alias("b"), F.col("root").alias("near")), n), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = label.join(small(seen, n), label.node == seen.a, "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        changes = Observation()
         new = step.join(small(jump, n), "mid", "left").select("node", "old", F.least("mid", "far").alias("root"))
-        written = saved(packed(new.observe(changes, F.count_if(F.col("root") != F.col("old")).alias("changed")).select("node", "root"), n))
+        written = saved(packed(new, n))
         dropped(label)
-        label = written
-        if not changes.get["changed"]:
+        label = written.select("node", "root")
+        if not written.where("root <> old").limit(1).count():
             dropped(both)
             return label, n
     if n:
