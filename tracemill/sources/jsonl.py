@@ -1,0 +1,119 @@
+"""Transcript files as numbered JSON records, and the shape that every decoder gives its events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import preview
+
+#: Columns of an event beside its session, number and directory. Rows of kind 'meta' tell about the session only.
+FIELDS = {
+    "id": "string", "ts_ms": "bigint", "kind": "string", "text": "string", "model": "string", "call_id": "string", "name": "string", "args": "string", "is_error": "boolean", "synthetic": "boolean", "partial": "boolean",
+    "input": "bigint", "output": "bigint", "cache_read": "bigint", "cache_write": "bigint", "reasoning": "bigint", "reported": "double", "title": "string", "rank": "int", "parent_of": "string", "started": "bigint",
+}
+#: A record gives at most 2^PER events.
+PER = 20
+TITLE, PREVIEW = 120, 160
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(session, parent, n, v): the records of (session, parent, at, line), ``n`` counted in the order of ``at``.
+
+    Broken lines, empty ones and nulls give no record but keep their number. One shuffle by session, which the ledger's
+    windows use again.
+    """
+    order = Window.partitionBy("session").orderBy("at")
+    return lines.withColumn("n", F.row_number().over(order).cast("bigint")).select("session", "parent", "n", F.expr("try_parse_json(line)").alias("v")).where("v is not null")
+
+
+def scan(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """(session, parent, at, line) of the JSONL files below ``path``: a session a file, named after its stem.
+
+    A file below ``<id>/subagents/`` has the parent ``<id>``. Files are split as Spark splits them; ``at`` is the split's
+    start and the row's place in it, so a session's order does not depend on how many tasks read it.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    file = F.col("_metadata.file_path")
+    parent = F.nullif(F.regexp_extract(file, "([^/]+)/subagents/", 1), F.lit(""))
+    return read.select(F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1).alias("session"), parent.alias("parent"), at.alias("at"), F.col("value").alias("line"))
+
+
+def whole(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(session, parent, at, line) of files that are one JSON value each; the session is the folder, else the stem."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    return read.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("session"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("at"), F.col("value").alias("line"))
+
+
+def get(v: str, path: str, kind: str = "string") -> str:
+    """SQL for a part of a record, null where it is missing or of another kind."""
+    return f"try_variant_get({v}, '$.{path}', '{kind}')"
+
+
+def filled(v: str, path: str) -> str:
+    """SQL for a string that is not empty."""
+    return f"nullif({get(v, path)}, '')"
+
+
+def count(v: str, path: str) -> str:
+    return f"greatest(coalesce({get(v, path, 'bigint')}, 0L), 0L)"
+
+
+def items(v: str, path: str) -> str:
+    """SQL for the elements of an array, none where it is not one."""
+    return f"coalesce({get(v, path, 'array<variant>')}, cast(array() as array<variant>))"
+
+
+def time(v: str, path: str = "timestamp") -> str:
+    """SQL for epoch milliseconds of an RFC 3339 string (UTC where it names no zone) or of a number of seconds or milliseconds; else 0."""
+    number, text = get(v, path, "double"), get(v, path)
+    zoned = f"if({text} rlike '(Z|[+-][0-9][0-9]:?[0-9][0-9])$', {text}, concat({text}, 'Z'))"
+    instant = f"if({text} rlike '^[0-9]{{4}}-[0-9][0-9]-[0-9][0-9][T ][0-9][0-9]:', unix_millis(try_cast({zoned} as timestamp)), null)"
+    return f"coalesce(cast(if({number} > 1e11, {number}, {number} * 1000) as bigint), {instant}, 0L)"
+
+
+def is_kind(v: str, kind: str) -> str:
+    return f"coalesce(schema_of_variant({v}) like '{kind}%', false)"
+
+
+def text_of(v: str, depth: int = 2) -> str:
+    """SQL for the text of a content value: a string itself, or the texts of its blocks by line; other blocks as [type]."""
+    b = f"b{depth}_"
+    inner = text_of(f"try_variant_get({b}, '$.content', 'variant')", depth - 1) if depth else get(b, "content")
+    has_content = f"try_variant_get({b}, '$.content', 'variant') is not null"
+    piece = f"case when {is_kind(b, 'STRING')} then try_variant_get({b}, '$', 'string') when {is_kind(b, 'OBJECT')} then coalesce({get(b, 'text')}, if({has_content}, {inner}, concat('[', {get(b, 'type')}, ']'))) end"
+    blocks = f"try_variant_get({v}, '$', 'array<variant>')"
+    return f"coalesce(if({is_kind(v, 'ARRAY')}, array_join(filter(transform({blocks}, {b} -> {piece}), p_ -> p_ <> ''), '\\n'), try_variant_get({v}, '$', 'string')), '')"
+
+
+def event(**fields: str) -> str:
+    """SQL for one event; fields that are not given are null, the time is ``t``."""
+    given = {"ts_ms": "t", **fields}
+    return "named_struct(" + ", ".join(f"'{c}', cast({given.get(c, 'null')} as {k})" for c, k in FIELDS.items()) + ")"
+
+
+def when(condition: str, *events: str) -> str:
+    """SQL for an array of events, each null where the condition does not hold."""
+    return "array(" + ", ".join(f"if({condition}, {e}, null)" for e in events) + ")"
+
+
+def emitted(rows: DataFrame, *arrays: str, cwd: str = "cwd") -> DataFrame:
+    """The events of ``arrays`` (SQL, arrays of events with nulls between) of each record, in order: session, parent, seq, cwd and FIELDS."""
+    each = rows.select("session", "parent", "n", F.expr(cwd).alias("cwd"), F.posexplode(F.expr(f"concat({', '.join(arrays)})")).alias("k", "e")).where("e is not null")
+    return each.select("session", "parent", (F.shiftleft("n", PER) + F.col("k")).alias("seq"), "cwd", *[F.col(f"e.{c}").alias(c) for c in FIELDS])
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """One row a session: parent, directory and model named last, the best and then latest title, times, and the first prompt's preview.
+
+    Times of 0 are unknown. A session of meta rows only has no times.
+    """
+    own = events.withColumn("title", preview(F.col("title"), TITLE)).withColumn("asked", F.when((F.col("kind") == "user_message") & ~F.coalesce("synthetic", F.lit(False)), preview(F.col("text"), PREVIEW)))
+    at = "if(kind <> 'meta' and ts_ms > 0, ts_ms, null)"
+    return own.groupBy("session").agg(
+        F.coalesce(F.max("parent_of"), F.max("parent")).alias("parent"), F.expr("max_by(cwd, seq) filter (where cwd is not null)").alias("cwd"), F.expr("max_by(model, seq) filter (where model is not null)").alias("model"),
+        F.expr("max_by(title, struct(rank, seq)) filter (where title <> '')").alias("title"), F.expr("min_by(asked, seq) filter (where asked <> '')").alias("preview"),
+        F.coalesce(F.min("started"), F.expr(f"min_by({at}, seq) filter (where {at} is not null)")).alias("started_at"), F.expr(f"max({at})").alias("updated_at"),
+        F.count_if(F.col("kind") != "meta").alias("n_events"))
