@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import family, ledger, pricing, search, timeline, usage
-from .sources import bridge
+from .sources import bridge, decoders, jsonl, samples
 from .storage import once
 
 NOW, MIDDLE = 1706573100000, 1705276800000
@@ -91,6 +91,22 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
     return pricing.consensus(offers)
 
 
+def _told(spark: SparkSession, d: str, harness: str) -> DataFrame:
+    """The conversations as this harness writes them, read back by its decoder."""
+    return decoders.DECODERS[harness](samples.lines(spark, d, harness))
+
+
+def _decoded(harness: str):
+    shown = ("session", "id", "kind", "ts_ms", "text", "model", "call_id", "name", "is_error", "input", "output", "cache_read", "reasoning", "reported")
+    return lambda spark, d: _told(spark, d, harness).where("kind <> 'meta'").select(*shown)
+
+
+def _told_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Transcript lines to priced steps, end to end."""
+    found = pricing.priced(ledger.steps(ledger.turned(_told(spark, d, "claude").where("kind <> 'meta'"))), pricing.sample_catalog(spark))
+    return found.select("session", "id", "step_idx", "turn", "ts_ms", "model", "input", usd(F.col("pico")).alias("cost"))
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -120,6 +136,9 @@ QUERIES: dict = {
     "sessions_not_filtered": lambda s, d: bridge.sessions(_raw(s, d)).where(search.session_filter(has_parent=True, starts="alpha:", negate=True)).select("session", "parent"),
     "fts_sessions": _search,
     "fts_scan": lambda s, d: search.scan(_docs(s, d)[0], ["qu", "LE"], 25),
+    **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
+    "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
+    "transcript_steps": _told_steps,
     "conversation_previews": lambda s, d: bridge.table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select("conv_id", preview(F.col("t"), 160).alias("preview")),
 }
 
@@ -177,6 +196,44 @@ _TF = "len(list_filter(range(1, length(f) - {n} + 2), lambda i: substr(f, i, {n}
 _SCORE = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * ({_TF.format(n=len(t), t=t)} * 2.2) / ({_TF.format(n=len(t), t=t)} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i, t in enumerate(TERMS))
 _DOCS = f"docs AS (SELECT 'src:' || source AS session, doc_id AS event, 1704067200000 + doc_id * 60000 AS ts_ms, text, translate(coalesce(text, ''), '{FOLD_FROM}', '{FOLD_TO}') AS f, greatest(length(text) - 2, 0) AS dl FROM documents)"
 
+_CONV = f"c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, role, text, {samples.AT} AS ts_ms, 'm' || turn AS m, 'c' || conv_id || '-' || turn AS call, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
+
+
+def _told_sql(*parts: tuple[str, str, str, dict[str, str]]) -> str:
+    """Events of conversations, each part (id, kind, condition, other columns)."""
+    kinds = {"text": "VARCHAR", "model": "VARCHAR", "call_id": "VARCHAR", "name": "VARCHAR", "is_error": "BOOLEAN", "input": "BIGINT", "output": "BIGINT", "cache_read": "BIGINT", "reasoning": "BIGINT", "reported": "DOUBLE"}
+    rows = (f"SELECT session, {id} AS id, '{kind}' AS kind, ts_ms, " + ", ".join(f"CAST({more.get(c, 'NULL')} AS {k}) AS {c}" for c, k in kinds.items()) + f" FROM c WHERE {where}" for id, kind, where, more in parts)
+    return f"WITH {_CONV} " + " UNION ALL ".join(rows)
+
+
+_TOLD = {
+    "decode_claude": _told_sql(
+        ("m", "system", "role = 'system'", {"name": "'notice'", "text": "text"}), ("m", "user_message", "role = 'user' AND turn % 4 < 2", {"text": "text"}), ("m || '#t'", "user_message", "role = 'user' AND turn % 4 >= 2 AND text <> ''", {"text": "text"}),
+        ("m || '#0'", "tool_result", "role = 'user' AND turn % 4 >= 2", {"call_id": "'c' || conv_id || '-' || (turn - 1)", "text": "left(text, 20)", "is_error": "turn % 3 = 0"}),
+        ("m || '#0'", "reasoning", "role = 'assistant'", {"text": "left(text, 10)"}), ("m || '#1'", "assistant_message", "role = 'assistant'", {"text": "text", "model": "'model-a'"}), ("m || '#2'", "tool_call", "role = 'assistant'", {"call_id": "call", "name": "'grep'"}),
+        ("'a' || turn || ':usage'", "usage", "role = 'assistant'", {"model": "'model-a'", "input": "n", "output": "turn * 10", "cache_read": "conv_id", "reasoning": "0"}), ("'a' || turn || ':end'", "turn_end", "role = 'assistant' AND turn % 4 = 1", {"name": "'end_turn'"})),
+    "decode_codex": _told_sql(
+        ("m", "user_message", "role = 'user'", {"text": "text"}), ("m", "tool_call", "role = 'assistant' AND turn % 4 = 1", {"call_id": "call", "name": "'shell'"}),
+        ("'@' || i", "usage", "role = 'assistant' AND turn % 4 <> 1 AND turn // 4 IS DISTINCT FROM (SELECT max(p.turn // 4) FROM c p WHERE p.session = c.session AND p.role = 'assistant' AND p.turn % 4 <> 1 AND p.turn < c.turn)",
+         {"input": "greatest(n - turn, 0)", "output": "CASE WHEN turn > 5 THEN 5 + turn ELSE 5 END", "cache_read": "turn", "reasoning": "turn", "model": "(SELECT max('model-b') FROM c p WHERE p.session = c.session AND p.role = 'system' AND p.turn < c.turn)"})),
+    "decode_gemini": _told_sql(
+        ("m", "system", "role = 'system'", {"name": "'info'", "text": "text"}), ("m", "user_message", "role = 'user'", {"text": "CASE WHEN text = '' THEN '' ELSE left(text, 30) || chr(10) || right(text, 5) END"}), ("m || ':t0'", "reasoning", "role = 'assistant'", {"text": "'Plan' || chr(10) || left(text, 10)"}),
+        ("m", "assistant_message", "role = 'assistant' AND turn % 4 <> 1 AND text <> ''", {"text": "text", "model": "'model-a'"}), ("m || ':end'", "turn_end", "role = 'assistant' AND turn % 4 <> 1 AND text <> ''", {"name": "'stop'"}),
+        ("m || ':c0'", "tool_call", "role = 'assistant' AND turn % 4 = 1", {"call_id": "call", "name": "'ls'"}), ("m || ':r0'", "tool_result", "role = 'assistant' AND turn % 4 = 1", {"call_id": "call", "name": "'ls'", "text": "left(text, 15)", "is_error": "false"}),
+        ("m || ':u'", "usage", "role = 'assistant'", {"model": "'model-a'", "input": "greatest(n + 2 - conv_id, 0)", "output": "7 + turn", "cache_read": "conv_id", "reasoning": "turn"})),
+    "decode_pi": _told_sql(
+        ("m", "user_message", "role = 'user' AND text <> ''", {"text": "text"}), ("m || '#0'", "assistant_message", "role = 'assistant'", {"text": "text", "model": "'model-a'"}), ("m || ':end'", "turn_end", "role = 'assistant'", {"name": "'stop'"}),
+        ("m || ':usage'", "usage", "role = 'assistant'", {"model": "'model-a'", "input": "n", "output": "CASE WHEN turn < 3 THEN turn + 3 ELSE turn END", "cache_read": "0", "reasoning": "3", "reported": "CASE WHEN turn % 4 <> 1 AND n > 0 THEN n / 1024.0::DOUBLE END"})),
+    "transcript_sessions": f"WITH {_CONV}, p AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS h FROM c), "
+    "f AS (SELECT *, CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS short, CASE WHEN length(h) > 120 THEN substr(h, 1, 120) || '…' ELSE h END AS head FROM p) "
+    "SELECT session, CAST(NULL AS VARCHAR) AS parent, max('/w') FILTER (WHERE role = 'system') AS cwd, max('model-a') FILTER (WHERE role = 'assistant') AS model, arg_max(head, turn) FILTER (WHERE role = 'system' AND head <> '') AS title, arg_min(short, turn) FILTER (WHERE role = 'user' AND short <> '') AS preview, "
+    "coalesce(min(ts_ms) FILTER (WHERE role = 'system'), min(ts_ms) FILTER (WHERE role = 'assistant' OR role = 'user' AND text <> '')) AS started_at, max(ts_ms) FILTER (WHERE role = 'assistant' OR role = 'user' AND text <> '') AS updated_at, "
+    "count(*) FILTER (WHERE role = 'user' AND text <> '') + 3 * count(*) FILTER (WHERE role = 'assistant') AS n_events FROM f GROUP BY 1",
+    "transcript_steps": f"WITH {_CONV}, o AS (SELECT *, (role = 'user' AND (turn % 4 < 2 OR text <> '')) AS opens, (role = 'user' AND turn % 4 >= 2) AS result FROM c), "
+    "k AS (SELECT *, lag(opens) OVER (PARTITION BY session ORDER BY turn) AS after FROM o WHERE role <> 'system'), t AS (SELECT *, sum(CASE WHEN opens AND (result OR NOT coalesce(after, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) AS turns FROM k) "
+    "SELECT session, 'a' || turn || ':usage' AS id, row_number() OVER (PARTITION BY session ORDER BY turn) AS step_idx, turns::BIGINT AS turn, ts_ms, 'model-a' AS model, n AS input, (n * 10 + turn * 500 + conv_id) * CASE WHEN ts_ms < 1705276800000 THEN 300000 WHEN n + conv_id > 3000 THEN 600000 ELSE 400000 END / 1e12 AS cost FROM t WHERE role = 'assistant'",
+}
+
 SQL: dict[str, str] = {
     "usage_by_harness": _grouped("harness"), "usage_by_model": _grouped("model_key"), "usage_by_cwd": _grouped("cwd"), "usage_by_session": _grouped("session"), "usage_by_project": _grouped("regexp_extract(cwd, '^(/w/[^/]+)', 1)"),
     "usage_by_dir": _grouped("cwd", "cwd LIKE '/w/repo1/%'"), "usage_by_day": _grouped(_wall("%Y-%m-%d")), "usage_by_hour": _grouped(_wall("%H", 28_800_000)), "usage_by_weekday": _grouped(f"CAST(isodow(CAST({_wall('%Y-%m-%d', -18_000_000)} AS DATE)) AS VARCHAR)"),
@@ -207,5 +264,6 @@ SQL: dict[str, str] = {
     "sessions_not_filtered": f"WITH {_SESSIONS} SELECT session, parent FROM sessions WHERE NOT (parent IS NOT NULL AND session LIKE 'alpha:%')",
     "fts_sessions": f"WITH {_DOCS}, st AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"count(*) FILTER (WHERE contains(f, '{t}')) AS df{i}" for i, t in enumerate(TERMS)) + f" FROM docs), up AS (SELECT session, max(ts_ms) AS updated_at FROM docs GROUP BY 1), h AS (SELECT session, event, {_SCORE} AS b FROM docs, st WHERE " + " AND ".join(f"contains(f, '{t}')" for t in TERMS) + " AND NOT contains(f, 'casino')), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY b DESC, event DESC) AS rank FROM h) " + f"SELECT r.session, event, rank, round(b, 6) AS bm25, round(b * (1 + 1 / (1 + greatest(({NOW} - updated_at) / 86400000.0::DOUBLE, 0) / 30)), 6) AS score FROM r JOIN up ON r.session = up.session WHERE rank <= 3",
     "fts_scan": f"WITH {_DOCS} SELECT session, event, ts_ms FROM docs WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'qu') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'le') ORDER BY ts_ms DESC, event DESC LIMIT 25",
+    **_TOLD,
     "conversation_previews": "WITH t AS (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS preview FROM t",
 }
