@@ -101,6 +101,20 @@ def _decoded(harness: str):
     return lambda spark, d: _told(spark, d, harness).where("kind <> 'meta'").select(*shown)
 
 
+def _children(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions below their parents; some name a call, some a call that their parent does not have."""
+    events = _events(spark, d).where("first")
+    calls = events.where("kind = 'tool_call'").select("session", "id", F.col("id").alias("call_id"), F.expr("if(seq % 3 = 0, 'Task', 'grep')").alias("name"), "ts_ms", "seq")
+    first = calls.groupBy(F.col("session").alias("parent")).agg(F.min_by("call_id", "seq").alias("of"))
+    own = bridge.sessions(_raw(spark, d)).where("parent is not null").join(first, "parent", "left")
+    children = own.select(F.col("session").alias("child"), "parent", F.expr("case user_id % 7 when 0 then of when 1 then 'gone' end").alias("parent_call"), "started_at")
+    return timeline.child_links(children, calls, timeline.step_times(_events(spark, d), calls.where("false").selectExpr("session", "id", "ts_ms as ended_at")))
+
+
+def _told_calls(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.tool_results(ledger.latest(_told(spark, d, "claude").where("kind <> 'meta'").drop("parent", "cwd"))).drop("seq")
+
+
 def _told_steps(spark: SparkSession, d: str) -> DataFrame:
     """Transcript lines to priced steps, end to end."""
     found = pricing.priced(ledger.steps(ledger.turned(_told(spark, d, "claude").where("kind <> 'meta'"))), pricing.sample_catalog(spark))
@@ -139,6 +153,9 @@ QUERIES: dict = {
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
     "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
     "transcript_steps": _told_steps,
+    "tool_results": _told_calls,
+    "step_times": lambda s, d: timeline.step_times(_events(s, d), _events(s, d).where("false").selectExpr("session", "id", "ts_ms as ended_at")),
+    "child_links": _children,
     "conversation_previews": lambda s, d: bridge.table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select("conv_id", preview(F.col("t"), 160).alias("preview")),
 }
 
@@ -196,6 +213,27 @@ _TF = "len(list_filter(range(1, length(f) - {n} + 2), lambda i: substr(f, i, {n}
 _SCORE = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * ({_TF.format(n=len(t), t=t)} * 2.2) / ({_TF.format(n=len(t), t=t)} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i, t in enumerate(TERMS))
 _DOCS = f"docs AS (SELECT 'src:' || source AS session, doc_id AS event, 1704067200000 + doc_id * 60000 AS ts_ms, text, translate(coalesce(text, ''), '{FOLD_FROM}', '{FOLD_TO}') AS f, greatest(length(text) - 2, 0) AS dl FROM documents)"
 
+_STEP_TIMES = _TURNED + """, ti AS (SELECT session, kind, ts_ms, first_value(CASE WHEN kind = 'usage' THEN id END IGNORE NULLS) OVER (PARTITION BY session, turn ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS step FROM turned WHERE first),
+ta AS (SELECT session, step AS id, max(ts_ms) AS last, count(*) AS items FROM ti WHERE kind IN ('assistant_message', 'tool_call', 'system') AND step IS NOT NULL GROUP BY ALL),
+tu AS (SELECT session, id, min(seq) AS seq, arg_min(turn, seq) AS turn, arg_max(ts_ms, seq) AS ts_ms FROM turned WHERE kind = 'usage' GROUP BY ALL),
+tb AS (SELECT session, turn, min(ts_ms) AS begun FROM turned WHERE first AND kind <> 'turn_end' GROUP BY ALL),
+tj AS (SELECT tu.*, begun, coalesce(items, 0) AS items, greatest(ts_ms, coalesce(last, ts_ms)) AS ended_at FROM tu LEFT JOIN ta USING (session, id) LEFT JOIN tb USING (session, turn)),
+st AS (SELECT session, id, turn, seq, least(coalesce(lag(ended_at) OVER (PARTITION BY session, turn ORDER BY seq), begun, ts_ms), ts_ms) AS started_at, ts_ms, ended_at, items FROM tj)"""
+
+
+_CHILD_LINKS = "WITH RECURSIVE" + _STEP_TIMES + _SESSIONS[len(_RAW):] + """,
+ca AS (SELECT session, id, seq, ts_ms, seq % 3 = 0 AS agent FROM turned WHERE first AND kind = 'tool_call'),
+cf AS (SELECT session, arg_min(id, seq) AS of FROM ca GROUP BY 1),
+ch AS (SELECT s.session AS child, s.parent, CASE user_id % 7 WHEN 0 THEN of WHEN 1 THEN 'gone' END AS parent_call, started_at FROM sessions s LEFT JOIN cf ON cf.session = s.parent WHERE s.parent IS NOT NULL),
+cn AS (SELECT ch.*, ca.id AS named FROM ch LEFT JOIN ca ON ca.session = ch.parent AND ca.id = ch.parent_call),
+co AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY started_at, child) AS i FROM cn WHERE parent_call IS NULL),
+cl AS (SELECT parent, CAST(0 AS BIGINT) AS i, '' AS child, '' AS near, coalesce(list(named) FILTER (WHERE named IS NOT NULL), []) AS claimed FROM cn GROUP BY parent UNION ALL
+  SELECT parent, i, child, near, list_append(claimed, near) FROM (SELECT cl.parent, co.i, co.child, any_value(cl.claimed) AS claimed, arg_max(ca.id, ca.ts_ms * 10000000000::HUGEINT + ca.seq) AS near
+  FROM cl JOIN co ON co.parent = cl.parent AND co.i = cl.i + 1 LEFT JOIN ca ON ca.session = co.parent AND ca.agent AND ca.ts_ms <= co.started_at AND NOT list_contains(cl.claimed, ca.id) GROUP BY ALL)),
+cg AS (SELECT cn.child, cn.parent, cn.started_at, coalesce(named, near) AS call FROM cn LEFT JOIN cl ON cl.parent = cn.parent AND cl.child = cn.child)
+SELECT cg.child, cg.parent, call, CASE WHEN call IS NULL THEN coalesce(arg_min(st.id, st.started_at) FILTER (WHERE cg.started_at <= st.ts_ms), arg_max(st.id, st.started_at)) END AS step
+FROM cg LEFT JOIN st ON st.session = cg.parent AND st.started_at <= cg.started_at GROUP BY cg.child, cg.parent, call"""
+
 _CONV = f"c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, role, text, {samples.AT} AS ts_ms, 'm' || turn AS m, 'c' || conv_id || '-' || turn AS call, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
 
 
@@ -224,6 +262,9 @@ _TOLD = {
     "decode_pi": _told_sql(
         ("m", "user_message", "role = 'user' AND text <> ''", {"text": "text"}), ("m || '#0'", "assistant_message", "role = 'assistant'", {"text": "text", "model": "'model-a'"}), ("m || ':end'", "turn_end", "role = 'assistant'", {"name": "'stop'"}),
         ("m || ':usage'", "usage", "role = 'assistant'", {"model": "'model-a'", "input": "n", "output": "CASE WHEN turn < 3 THEN turn + 3 ELSE turn END", "cache_read": "0", "reasoning": "3", "reported": "CASE WHEN turn % 4 <> 1 AND n > 0 THEN n / 1024.0::DOUBLE END"})),
+    "step_times": f"WITH {_STEP_TIMES} SELECT * FROM st",
+    "child_links": _CHILD_LINKS,
+    "tool_results": f"WITH {_CONV} SELECT a.session, a.m || '#2' AS id, a.call AS call_id, 'grep' AS name, a.ts_ms, r.ts_ms AS ended_at, r.turn % 3 = 0 AS is_error, left(r.text, 20) AS result, r.turn IS NULL AS running FROM c a LEFT JOIN c r ON a.session = r.session AND r.turn = a.turn + 1 AND r.role = 'user' AND r.turn % 4 >= 2 WHERE a.role = 'assistant'",
     "transcript_sessions": f"WITH {_CONV}, p AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS h FROM c), "
     "f AS (SELECT *, CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS short, CASE WHEN length(h) > 120 THEN substr(h, 1, 120) || '…' ELSE h END AS head FROM p) "
     "SELECT session, CAST(NULL AS VARCHAR) AS parent, max('/w') FILTER (WHERE role = 'system') AS cwd, max('model-a') FILTER (WHERE role = 'assistant') AS model, arg_max(head, turn) FILTER (WHERE role = 'system' AND head <> '') AS title, arg_min(short, turn) FILTER (WHERE role = 'user' AND short <> '') AS preview, "
