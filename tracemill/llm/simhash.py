@@ -62,8 +62,9 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     """
     assert most == 2, "balls of radius one meet at distance two"
     flip = "if(bit < 0, 0L, shiftleft(1L, bit))"
-    # Each fingerprint becomes 65 rows, so they are dealt out before that.
-    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Each fingerprint becomes 65 rows, so they are dealt out before that; by a hash, as dealing by the fingerprint itself is
+    # taken for the exchange that made them distinct, which then is packed into a few tasks.
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     balls = dealt.select("fp", F.explode(F.expr(f"sequence(-1, {BITS - 1})")).alias("bit"))
     points = balls.select(F.expr(f"fp ^ {flip}").alias("point"), F.expr(flip).alias("mask"), F.expr("if(bit < 0, 1, 0)").alias("own"))
     entries = points.groupBy("point").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where("bit_count(mask) + own > 1")
