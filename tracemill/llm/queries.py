@@ -16,6 +16,7 @@ from .simhash import op4_simhash_near_dedup
 from .suffixes import op3_suffix_dedup
 from .toxicity import op1_toxicity
 from .urls import op7_path_templates
+from .warc import OP11_SQL, op11_warc_revisits
 from .whitening import op13_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_bands": op8_compression_bands,
     "op9_license_scan": op9_license_scan,
     "op10_secret_forest": op10_secret_forest,
+    "op11_warc_revisits": op11_warc_revisits,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op11_warc_revisits": OP11_SQL}
