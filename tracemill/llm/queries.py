@@ -11,6 +11,7 @@ from .licenses import op9_license_scan
 from .lines import op5_line_dedup
 from .mixing import op2_temperature_mixing
 from .quality import op8_compression_bands
+from .runs import op12_periodic_runs
 from .secrets import op10_secret_forest
 from .simhash import op4_simhash_near_dedup
 from .suffixes import op3_suffix_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_secret_forest": op10_secret_forest,
     "op11_warc_revisits": op11_warc_revisits,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
