@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import family, ledger, pricing, search, timeline, usage
-from .sources import bridge, decoders, jsonl, samples
-from .storage import once
+from .sinks import files
+from .sources import bridge, decoders, follow, jsonl, samples
+from .storage import new_folder, once, settled
 
 NOW, MIDDLE = 1706573100000, 1705276800000
 TERMS, WITHOUT = ["ere", "ing"], ["casino"]
@@ -97,8 +98,34 @@ def _told(spark: SparkSession, d: str, harness: str) -> DataFrame:
 
 
 def _decoded(harness: str):
-    shown = ("session", "id", "kind", "ts_ms", "text", "model", "call_id", "name", "is_error", "input", "output", "cache_read", "reasoning", "reported")
-    return lambda spark, d: _told(spark, d, harness).where("kind <> 'meta'").select(*shown)
+    return lambda spark, d: _told(spark, d, harness).where("kind <> 'meta'").select(*SHOWN)
+
+
+SHOWN = ("session", "id", "kind", "ts_ms", "text", "model", "call_id", "name", "is_error", "input", "output", "cache_read", "reasoning", "reported")
+
+
+def _scanned(harness: str):
+    """The conversations written down as files in the harness's layout, scanned and decoded."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        folder = new_folder(spark, harness)
+        files.write(samples.files(spark, d, harness), folder)
+        read = jsonl.whole if harness == "gemini" else jsonl.scan
+        return jsonl.named(decoders.DECODERS[harness](read(spark, folder)), harness).where("kind <> 'meta'").select(*SHOWN)
+
+    return run
+
+
+def _followed(spark: SparkSession, d: str) -> DataFrame:
+    """Files that grow in three steps, cut anywhere, each followed by a stream to its end; what the stream kept is decoded."""
+    folder = new_folder(spark, "follow")
+    told = settled(samples.files(spark, d, "pi").withColumn("content", F.col("content").cast("binary")))
+    for k in (1, 2, 3):
+        files.write(told.select("path", F.expr(f"substring(content, 1, cast(length(content) * {k} div 3 as int))").alias("content")), f"{folder}/files")
+        found = follow.stream(spark, f"{folder}/files", f"{folder}/manifests", piece=1 << 16)
+        follow.keep(found, f"{folder}/kept", f"{folder}/checkpoint").awaitTermination()
+    lines = follow.kept(spark, f"{folder}/kept").select(F.col("source").alias("session"), F.lit(None).cast("string").alias("parent"), "at", "line")
+    return jsonl.named(decoders.pi(lines), "pi").where("kind <> 'meta'").select(*SHOWN)
 
 
 def _children(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +178,8 @@ QUERIES: dict = {
     "fts_sessions": _search,
     "fts_scan": lambda s, d: search.scan(_docs(s, d)[0], ["qu", "LE"], 25),
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
+    **{f"scan_{h}": _scanned(h) for h in decoders.DECODERS},
+    "follow_appended": _followed,
     "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
     "transcript_steps": _told_steps,
     "tool_results": _told_calls,
@@ -306,5 +335,7 @@ SQL: dict[str, str] = {
     "fts_sessions": f"WITH {_DOCS}, st AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"count(*) FILTER (WHERE contains(f, '{t}')) AS df{i}" for i, t in enumerate(TERMS)) + f" FROM docs), up AS (SELECT session, max(ts_ms) AS updated_at FROM docs GROUP BY 1), h AS (SELECT session, event, {_SCORE} AS b FROM docs, st WHERE " + " AND ".join(f"contains(f, '{t}')" for t in TERMS) + " AND NOT contains(f, 'casino')), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY b DESC, event DESC) AS rank FROM h) " + f"SELECT r.session, event, rank, round(b, 6) AS bm25, round(b * (1 + 1 / (1 + greatest(({NOW} - updated_at) / 86400000.0::DOUBLE, 0) / 30)), 6) AS score FROM r JOIN up ON r.session = up.session WHERE rank <= 3",
     "fts_scan": f"WITH {_DOCS} SELECT session, event, ts_ms FROM docs WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'qu') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'le') ORDER BY ts_ms DESC, event DESC LIMIT 25",
     **_TOLD,
+    **{f"scan_{h}": _TOLD[f"decode_{h}"] for h in decoders.DECODERS},
+    "follow_appended": _TOLD["decode_pi"],
     "conversation_previews": "WITH t AS (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS preview FROM t",
 }

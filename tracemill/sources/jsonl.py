@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,8 +28,12 @@ def records(lines: DataFrame) -> DataFrame:
     return lines.withColumn("n", F.row_number().over(order).cast("bigint")).select("session", "parent", "n", F.expr("try_parse_json(line)").alias("v")).where("v is not null")
 
 
+#: Fixed values of the formats: a file's name without its last suffix, and the name after a time.
+STEM, TIMED = r"([^/]+?)(?:\.[^./]*)?$", "^[^_]{4}-[^_]*_(.+)$"
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(session, parent, at, line) of the JSONL files below ``path``: a session a file, named after its stem.
+    """(session, parent, at, line) of the JSONL files below ``path``; the session is the whole path until ``named`` names it.
 
     A file below ``<id>/subagents/`` has the parent ``<id>``. Files are split as Spark splits them; ``at`` is the split's
     start and the row's place in it, so a session's order does not depend on how many tasks read it.
@@ -37,14 +41,54 @@ def scan(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     file = F.col("_metadata.file_path")
-    parent = F.nullif(F.regexp_extract(file, "([^/]+)/subagents/", 1), F.lit(""))
-    return read.select(F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1).alias("session"), parent.alias("parent"), at.alias("at"), F.col("value").alias("line"))
+    return read.select(file.alias("session"), folder_parent(file).alias("parent"), at.alias("at"), F.col("value").alias("line"))
 
 
 def whole(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(session, parent, at, line) of files that are one JSON value each; the session is the folder, else the stem."""
+    """(session, parent, at, line) of files that are one JSON value each; the session is the whole path until ``named`` names it."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    return read.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("session"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("at"), F.col("value").alias("line"))
+    return read.select(F.col("_metadata.file_path").alias("session"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("at"), F.col("value").alias("line"))
+
+
+def folder_parent(file: Column) -> Column:
+    """The folder above the first one called subagents, null where there is none."""
+    return F.nullif(F.regexp_extract(file, "^(?:.*?/)?([^/]+)/subagents/", 1), F.lit(""))
+
+
+def after_time(name: Column) -> Column:
+    """What follows the time in a name like ``2024-01-31T10-20-30-400Z_x``; null for other names."""
+    time = F.substring_index(name, "_", 1)
+    return F.when((F.length(time) >= 20) & F.contains(time, F.lit("T")), F.nullif(F.regexp_extract(name, TIMED, 1), F.lit("")))
+
+
+def named(events: DataFrame, harness: str, projects: DataFrame | None = None) -> DataFrame:
+    """Events of scanned files with ``source``, the file's path, and with session and parent named as the harness does.
+
+    claude and gemini: the file's stem; codex: its last 36 characters; pi: what follows the time in the stem, the parent
+    what follows it in the nearest folder named so, and ``<parent>.<stem>`` where only the folder is. Several sources can
+    have one name: positions hold within a source, so the ledger is kept by source and brought together by
+    ``ledger.combined``. ``projects`` (name, path) gives gemini sessions the directory their project folder stands for.
+    """
+    stem, parent = F.regexp_extract("source", STEM, 1), F.col("parent")
+    rows = events.withColumnRenamed("session", "source")
+    if harness == "codex":
+        stem = F.substring(stem, -36, 36)
+    elif harness == "pi":
+        folders = F.reverse(F.slice(F.split("source", "/"), 1, F.size(F.split("source", "/")) - 1))
+        parent = F.element_at(F.concat(F.filter(F.transform(folders, after_time), lambda f: f.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
+        stem = F.coalesce(after_time(stem), F.when(parent.isNotNull(), F.concat(parent, F.lit("."), stem)), stem)
+    elif harness == "gemini" and projects is not None:
+        known = projects.groupBy(F.col("name").alias("project")).agg(F.min("path").alias("path"))
+        rows = rows.withColumn("project", F.regexp_extract("source", "([^/]+)/chats/[^/]+$", 1)).join(known, "project", "left")
+        rows = rows.withColumn("cwd", F.coalesce("cwd", "path")).drop("project", "path")
+    return rows.select(stem.alias("session"), "source", parent.alias("parent"), *[c for c in rows.columns if c not in ("session", "source", "parent")])
+
+
+def parent_calls(spark: SparkSession, path: str) -> DataFrame:
+    """(source, parent_call) of sub-agent files that have a ``.meta.json`` beside them naming the call that started them."""
+    metas = whole(spark, path, "*.meta.json")
+    call = F.expr(filled("try_parse_json(line)", "toolUseId"))
+    return metas.select(F.regexp_replace("session", r"\.meta\.json$", ".jsonl").alias("source"), call.alias("parent_call")).where("parent_call is not null")
 
 
 def get(v: str, path: str, kind: str = "string") -> str:

@@ -52,3 +52,14 @@ def lines(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
     """(session, parent, at, line) of all conversations; the session is the conversation's number."""
     told = bridge.table(spark, sf_dir, "conversations")
     return told.select(F.col("conv_id").cast("string").alias("session"), F.lit(None).cast("string").alias("parent"), F.col("turn").alias("at"), F.expr(LINES[harness]).alias("line"))
+
+
+def files(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
+    """(path, content) of transcript files that hold the conversations: a file a conversation, gemini's as one JSON value each."""
+    told = lines(spark, sf_dir, harness).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
+    each = F.transform("ls", lambda x: x["line"])
+    if harness == "gemini":
+        head = F.expr(f"to_json(named_struct('sessionId', session, 'startTime', {AT.replace('conv_id', 'cast(session as bigint)').replace('turn', 'ls[0].at')}))")
+        content = F.concat(F.expr("substring_index(h, '}', 1)"), F.lit(', "messages": ['), F.array_join(each, ","), F.lit("]}"))
+        return told.withColumn("h", head).select(F.concat(F.lit("p"), F.expr("cast(session as bigint) % 7"), F.lit("/chats/"), "session", F.lit(".json")).alias("path"), content.alias("content"))
+    return told.select(F.concat(F.lit("d"), F.expr("cast(session as bigint) % 7"), F.lit("/"), "session", F.lit(".jsonl")).alias("path"), F.concat(F.array_join(each, "\n"), F.lit("\n")).alias("content"))

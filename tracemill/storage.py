@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder name of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tracemill-{kind}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tracemill-{uuid.uuid4().hex}"
