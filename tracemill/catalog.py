@@ -10,6 +10,7 @@ from .operators import family, ledger, pricing, search, timeline, usage
 from .sinks import files
 from .sources import bridge, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
+from .streaming import sessions as live
 
 NOW, MIDDLE = 1706573100000, 1705276800000
 TERMS, WITHOUT = ["ere", "ing"], ["casino"]
@@ -128,6 +129,24 @@ def _followed(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.named(decoders.pi(lines), "pi").where("kind <> 'meta'").select(*SHOWN)
 
 
+STREAMED = ("session", "id", "seq", "ts_ms", "kind", "model", *ledger.TOKENS)
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """What the stateful ledger and status told of all deliveries, which arrive in three steps; each step goes on from the checkpoint."""
+
+    def run() -> DataFrame:
+        folder, rows = new_folder(spark, "stream"), settled(_raw(spark, d).select(*STREAMED))
+        most = rows.where("seq < 1000000000").agg(F.max("seq")).first()[0] or 0
+        for k in range(3):
+            rows.where(F.least(F.lit(2), F.floor(F.col("seq") * 3 / (most + 1))) == k).write.mode("append").parquet(f"{folder}/in")
+            changes = live.kept_up(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+            live.keep(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        return live.kept(spark, f"{folder}/out")
+
+    return once(spark, "streamed", f"{d}/events.parquet", run)
+
+
 def _children(spark: SparkSession, d: str) -> DataFrame:
     """Sessions below their parents; some name a call, some a call that their parent does not have."""
     events = _events(spark, d).where("first")
@@ -180,6 +199,8 @@ QUERIES: dict = {
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
     **{f"scan_{h}": _scanned(h) for h in decoders.DECODERS},
     "follow_appended": _followed,
+    "stream_steps": lambda s, d: live.current(_streamed(s, d), "step").select("session", F.col("id").alias("event"), "step_idx", "turn", "ts_ms", "model", "input"),
+    "stream_status": lambda s, d: live.current(_streamed(s, d), "status").select("session", "status", "since", "reason", "last"),
     "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
     "transcript_steps": _told_steps,
     "tool_results": _told_calls,
@@ -339,3 +360,7 @@ SQL: dict[str, str] = {
     "follow_appended": _TOLD["decode_pi"],
     "conversation_previews": "WITH t AS (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS preview FROM t",
 }
+
+SQL["stream_steps"] = f"WITH {_STEPS} SELECT session, event, step_idx, turn, ts_ms, model, input FROM steps"
+# Every delivery counts for the status, mended ones where they are mended; long after, all work is over.
+SQL["stream_status"] = SQL["status_effective"].replace("FROM latest", "FROM raw").replace(str(NOW), "9000000000000")

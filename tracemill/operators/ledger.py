@@ -21,7 +21,8 @@ def latest(raw: DataFrame) -> DataFrame:
 def turned(raw: DataFrame) -> DataFrame:
     """Every delivery with ``first`` (first of its id), ``turn`` and ``fill``, the model that holds at this point.
 
-    A first-seen prompt or turn start opens a turn unless the last relevant event before it did too. Source order counts,
+    A model holds from an answer or a record of the session's metadata on (kind 'meta') until another one is named. A
+    first-seen prompt or turn start opens a turn unless the last relevant event before it did too. Source order counts,
     not time. A session's events meet in one task; that is the unit that order is defined in.
     """
     by_id, order = Window.partitionBy("session", "id").orderBy("seq"), Window.partitionBy("session").orderBy("seq")
@@ -31,7 +32,7 @@ def turned(raw: DataFrame) -> DataFrame:
         opens = opens & ~F.coalesce("synthetic", F.lit(False))
     flagged = seen.withColumn("opens", opens).withColumn("relevant", F.col("opens") | F.col("kind").isin(*CLOSERS))
     before = F.last(F.when(F.col("relevant"), F.col("opens")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fill = F.last(F.when((F.col("kind") == "assistant_message") & (F.col("model") != ""), F.col("model")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fill = F.last(F.when(F.col("kind").isin("assistant_message", "meta") & (F.col("model") != ""), F.col("model")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     lagged = flagged.withColumn("inc", (F.col("opens") & ~F.coalesce(before, F.lit(False))).cast("bigint")).withColumn("fill", fill)
     return lagged.withColumn("turn", F.sum("inc").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("inc", "opens", "relevant")
 
