@@ -75,6 +75,7 @@ def test_rewritten_shorter_longer_and_removed_files(followed):
 
 def test_nothing_to_read(followed):
     followed.step()
+    assert followed.batch() == []
     followed.write("a.jsonl", b"x\n")
     followed.step()
     assert followed.kept() == followed.batch() == [("a.jsonl", 0, "x")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import family, ledger, pricing, search, timeline, usage
 from .sinks import files
-from .sources import bridge, decoders, follow, jsonl, samples
+from .sources import bridge, databases, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
 from .streaming import sessions as live
 
@@ -117,6 +117,17 @@ def _scanned(harness: str):
     return run
 
 
+def _stored(harness: str):
+    """The conversations in databases of the harness's tables, read and decoded."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        folder = new_folder(spark, harness)
+        files.write(samples.databases(spark, d, harness), folder)
+        return databases.named(databases.DECODERS[harness](databases.scan(spark, folder, harness, piece=1 << 20))).where("kind <> 'meta'").select(*SHOWN)
+
+    return run
+
+
 def _followed(spark: SparkSession, d: str) -> DataFrame:
     """Files that grow in three steps, cut anywhere, each followed by a stream to its end; what the stream kept is decoded."""
     folder = new_folder(spark, "follow")
@@ -198,6 +209,7 @@ QUERIES: dict = {
     "fts_scan": lambda s, d: search.scan(_docs(s, d)[0], ["qu", "LE"], 25),
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
     **{f"scan_{h}": _scanned(h) for h in decoders.DECODERS},
+    **{f"database_{h}": _stored(h) for h in databases.DECODERS},
     "follow_appended": _followed,
     "stream_steps": lambda s, d: live.current(_streamed(s, d), "step").select("session", F.col("id").alias("event"), "step_idx", "turn", "ts_ms", "model", "input"),
     "stream_status": lambda s, d: live.current(_streamed(s, d), "status").select("session", "status", "since", "reason", "last"),
@@ -290,7 +302,7 @@ _CONV = f"c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, role,
 def _told_sql(*parts: tuple[str, str, str, dict[str, str]]) -> str:
     """Events of conversations, each part (id, kind, condition, other columns)."""
     kinds = {"text": "VARCHAR", "model": "VARCHAR", "call_id": "VARCHAR", "name": "VARCHAR", "is_error": "BOOLEAN", "input": "BIGINT", "output": "BIGINT", "cache_read": "BIGINT", "reasoning": "BIGINT", "reported": "DOUBLE"}
-    rows = (f"SELECT session, {id} AS id, '{kind}' AS kind, ts_ms, " + ", ".join(f"CAST({more.get(c, 'NULL')} AS {k}) AS {c}" for c, k in kinds.items()) + f" FROM c WHERE {where}" for id, kind, where, more in parts)
+    rows = (f"SELECT session, {id} AS id, '{kind}' AS kind, {more.get('ts_ms', 'ts_ms')} AS ts_ms, " + ", ".join(f"CAST({more.get(c, 'NULL')} AS {k}) AS {c}" for c, k in kinds.items()) + f" FROM c WHERE {where}" for id, kind, where, more in parts)
     return f"WITH {_CONV} " + " UNION ALL ".join(rows)
 
 
@@ -364,3 +376,28 @@ SQL: dict[str, str] = {
 SQL["stream_steps"] = f"WITH {_STEPS} SELECT session, event, step_idx, turn, ts_ms, model, input FROM steps"
 # Every delivery counts for the status, mended ones where they are mended; long after, all work is over.
 SQL["stream_status"] = SQL["status_effective"].replace("FROM latest", "FROM raw").replace(str(NOW), "9000000000000")
+
+# The sequences of devin's nodes: the visible chain has no second tries; where the leaf is unknown all nodes are shown.
+_DONE = "(turn % 4 <> 3 OR turn % 5 = 4)"
+_PID = "'p' || conv_id || '-' || turn || '{0}'"
+_DEVIN = "conv_id % 10 <> 9"
+SQL |= {
+    "database_opencode": _told_sql(
+        (_PID.format(0), "system", "role = 'system'", {"name": "'file'", "text": "left(text, 12)"}), (_PID.format(1), "user_message", "role = 'user'", {"text": "text"}), (_PID.format(3), "assistant_message", "role = 'assistant'", {"text": "text", "model": "'model-a'", "ts_ms": "ts_ms + 3"}), (_PID.format(2), "reasoning", "role = 'assistant'", {"text": "left(text, 10)", "ts_ms": "ts_ms + 1"}),
+        (_PID.format(4), "tool_call", "role = 'assistant'", {"call_id": "call", "name": "'grep'"}), (_PID.format(4) + " || ':r'", "tool_result", "role = 'assistant' AND turn % 4 = 1", {"call_id": "call", "name": "'grep'", "text": "left(text, 15)", "is_error": "false", "ts_ms": "ts_ms + 9"}),
+        (_PID.format(5), "usage", "role = 'assistant'", {"model": "'model-a'", "input": "n", "output": "CASE WHEN turn % 3 = 0 THEN 7 ELSE 7 + turn END", "cache_read": "conv_id", "reasoning": "turn", "reported": "CASE WHEN turn > 0 THEN turn / 8.0::DOUBLE END"}),
+        ("'m' || conv_id || '-' || turn || ':err'", "system", "role = 'assistant' AND turn % 5 = 4", {"name": "'error'", "text": "'Busy: later'", "ts_ms": "CASE WHEN turn % 4 <> 3 THEN ts_ms + 500 ELSE ts_ms END"}),
+        ("'m' || conv_id || '-' || turn || ':end'", "turn_end", f"role = 'assistant' AND {_DONE} AND (turn % 5 = 4 OR turn % 4 <> 1)", {"name": "CASE WHEN turn % 5 = 4 THEN 'error' ELSE 'stop' END", "ts_ms": "CASE WHEN turn % 4 <> 3 THEN ts_ms + 500 ELSE ts_ms END"})),
+    "database_hermes": _told_sql(
+        ("h", "user_message", "role = 'user' AND turn % 7 <> 6 AND regexp_matches(text, '\\S')", {"text": "text"}), ("h || ':r'", "reasoning", "role = 'assistant' AND turn % 7 <> 6 AND regexp_matches(left(text, 6), '\\S')", {"text": "left(text, 6)"}), ("h", "assistant_message", "role = 'assistant' AND turn % 7 <> 6 AND regexp_matches(text, '\\S')", {"text": "text"}),
+        ("h || ':c0'", "tool_call", "role = 'assistant' AND turn % 7 <> 6 AND turn % 4 = 1", {"call_id": "call", "name": "'grep'"}), ("h || ':c1'", "tool_call", "role = 'assistant' AND turn % 7 <> 6 AND turn % 4 = 1", {"call_id": "h || ':c1'", "name": "'ls'"}),
+        ("h || ':e'", "turn_end", "role = 'assistant' AND turn % 7 <> 6 AND turn % 4 <> 1", {"name": "'stop'"}), ("h", "tool_result", "role = 'system' AND turn % 7 <> 6", {"call_id": "'x'", "name": "'notes'", "text": "coalesce(text, '')", "is_error": "false"}),
+        ("'session:usage'", "usage", "i = 1", {"model": "'model-h'", "input": "conv_id % 4", "output": "8", "cache_read": "0", "reasoning": "5", "reported": "0.5"})).replace("row_number()", "'m' || (conv_id * 100000 + turn * 10) AS h, row_number()"),
+    "database_copilot": _told_sql(
+        ("h", "user_message", "role = 'user' AND regexp_matches(text, '\\S')", {"text": "text"}), ("h || ':a'", "assistant_message", "role = 'user' AND turn % 4 <> 0", {"text": "'re ' || left(text, 10)"}), ("h || ':end'", "turn_end", "role = 'user'", {"name": "'completed'"})).replace("row_number()", "'t' || (conv_id * 100000 + turn * 10) AS h, row_number()"),
+    "database_devin": _told_sql(
+        ("'n' || turn", "user_message", f"{_DEVIN} AND role = 'user' AND regexp_matches(text, '\\S')", {"text": "text"}), ("'n' || turn || ':r'", "reasoning", f"{_DEVIN} AND role = 'assistant' AND regexp_matches(left(text, 8), '\\S')", {"text": "left(text, 8)"}), ("'n' || turn", "assistant_message", f"{_DEVIN} AND role = 'assistant' AND regexp_matches(text, '\\S')", {"text": "text", "model": "'model-d'"}),
+        ("'n' || turn || ':c0'", "tool_call", f"{_DEVIN} AND role = 'assistant' AND turn % 4 = 1", {"call_id": "call", "name": "'grep'"}), ("'n' || turn || ':u'", "usage", f"{_DEVIN} AND role = 'assistant' AND n + turn > 0", {"input": "n", "output": "turn", "cache_read": "0", "reasoning": "0"}), ("'n' || turn || ':e'", "turn_end", f"{_DEVIN} AND role = 'assistant' AND turn % 4 <> 1", {"name": "'completed'"}),
+        ("'n' || turn", "tool_result", f"{_DEVIN} AND role = 'system' AND turn % 2 = 1", {"call_id": "''", "text": "text", "is_error": "false"}), ("'n' || turn", "system", f"{_DEVIN} AND role = 'system' AND turn % 2 = 0 AND regexp_matches(text, '\\S')", {"name": "'system'", "text": "text"}),
+        ("'n' || (turn + 1000)", "user_message", "conv_id % 10 = 8 AND role = 'user' AND turn % 3 = 0", {"text": "'again ' || text", "ts_ms": "ts_ms + 1000"})),
+}

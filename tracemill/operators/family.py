@@ -1,4 +1,4 @@
-"""Parent and child sessions: ancestors level by level, and totals over descendants."""
+"""Parent and child sessions: ancestors by pointer doubling, and totals over descendants."""
 
 from __future__ import annotations
 
@@ -6,25 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import usd_sum
-from ..storage import settled
+from . import chains
 
 
-def ancestors(sessions: DataFrame, most: int = 1000) -> DataFrame:
-    """(session, ancestor, depth) along ``parent`` links; a chain ends where it would meet itself.
-
-    Each round joins the newest pairs with the links once; pairs are written, so that plans stay small however deep a
-    family is. Self-parents have no family.
-    """
-    links = settled(sessions.where("parent is not null and parent <> session").select("session", "parent").distinct())
-    level = links.select("session", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth"), F.array("session", "parent").alias("path"))
-    found = level.drop("path")
-    up = links.select(F.col("session").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(most):
-        level = settled(level.join(up, "ancestor").where(~F.array_contains("path", F.col("next"))).select("session", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level.drop("path"))
-    raise RuntimeError(f"chains of more than {most} parents")
+def ancestors(sessions: DataFrame) -> DataFrame:
+    """(session, ancestor, depth) along ``parent`` links; a chain ends where it would meet itself. Self-parents have no family."""
+    return chains.closure(sessions.select(F.col("session").alias("node"), "parent")).withColumnRenamed("node", "session")
 
 
 def totals(sessions: DataFrame, usage: DataFrame) -> DataFrame:

@@ -121,7 +121,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
-def read_pieces(uri: str, part: Pieces) -> Iterator[pa.RecordBatch]:
+def read_pieces(uri: str, part: Pieces | None) -> Iterator[pa.RecordBatch]:
+    if part is None:  # no files
+        return
     store, _ = _open(uri)
     rows: list[tuple] = []
     for path, generation, kind, low, high in part.value:

@@ -32,6 +32,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(written: DataFrame) -> None:
+    """Deletes the files of a table that ``settled`` wrote, once nothing reads it any more."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _KEPT: dict[tuple, DataFrame] = {}
 
 
