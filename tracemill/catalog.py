@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
-from .operators import family, ledger, pricing, search, timeline, usage
+from .operators import document, family, ledger, pricing, search, timeline, usage
 from .sinks import files
 from .sources import bridge, databases, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
@@ -178,6 +178,13 @@ def _told_steps(spark: SparkSession, d: str) -> DataFrame:
     return found.select("session", "id", "step_idx", "turn", "ts_ms", "model", "input", usd(F.col("pico")).alias("cost"))
 
 
+def _document(spark: SparkSession, d: str) -> DataFrame:
+    """Transcript lines to nested documents of turns, steps and items, shown item by item."""
+    turned = settled(ledger.turned(_told(spark, d, "claude").where("kind <> 'meta'")))
+    steps = pricing.priced(settled(ledger.steps(turned)), pricing.sample_catalog(spark))
+    return document.flat(document.document(turned, steps))
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -215,6 +222,7 @@ QUERIES: dict = {
     "stream_status": lambda s, d: live.current(_streamed(s, d), "status").select("session", "status", "since", "reason", "last"),
     "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
     "transcript_steps": _told_steps,
+    "trajectory_document": _document,
     "tool_results": _told_calls,
     "step_times": lambda s, d: timeline.step_times(_events(s, d), _events(s, d).where("false").selectExpr("session", "id", "ts_ms as ended_at")),
     "child_links": _children,
@@ -401,3 +409,19 @@ SQL |= {
         ("'n' || turn", "tool_result", f"{_DEVIN} AND role = 'system' AND turn % 2 = 1", {"call_id": "''", "text": "text", "is_error": "false"}), ("'n' || turn", "system", f"{_DEVIN} AND role = 'system' AND turn % 2 = 0 AND regexp_matches(text, '\\S')", {"name": "'system'", "text": "text"}),
         ("'n' || (turn + 1000)", "user_message", "conv_id % 10 = 8 AND role = 'user' AND turn % 3 = 0", {"text": "'again ' || text", "ts_ms": "ts_ms + 1000"})),
 }
+
+SQL["trajectory_document"] = f"""WITH {_CONV}, o AS (SELECT *, (role = 'user' AND (turn % 4 < 2 OR text <> '')) AS opens, (role = 'user' AND turn % 4 >= 2) AS result FROM c),
+k AS (SELECT *, lag(opens) OVER (PARTITION BY session, role = 'system' ORDER BY turn) AS after FROM o),
+t AS (SELECT *, sum(CASE WHEN role <> 'system' AND opens AND (result OR NOT coalesce(after, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn)::BIGINT AS turns FROM k),
+s AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS step FROM t WHERE role = 'assistant'),
+i AS (SELECT t.session, t.turns, t.turn, x.k, x.kind, CASE WHEN t.role = 'system' THEN t.m ELSE t.m || '#' || x.k END AS event, t.ts_ms AS ts, CASE x.k WHEN 0 THEN least(t.n, 10) WHEN 1 THEN t.n END AS chars, CASE x.k WHEN 1 THEN left(t.text, 200) END AS preview, CASE WHEN x.k = 2 THEN 'grep' WHEN t.role = 'system' THEN 'notice' END AS name,
+  CASE WHEN x.k = 2 THEN r.ts_ms END AS item_ended_at, CASE WHEN x.k = 2 AND r.turn IS NOT NULL THEN r.turn % 3 = 0 END AS is_error, CASE WHEN x.k = 2 THEN left(r.text, 20) END AS output_preview, CASE WHEN x.k = 2 THEN r.turn IS NULL END AS running,
+  (SELECT min(s.turn) FROM s WHERE s.session = t.session AND s.turns = t.turns AND s.turn >= t.turn) AS used
+  FROM t JOIN (VALUES ('assistant', 0, 'reasoning'), ('assistant', 1, 'assistant_message'), ('assistant', 2, 'tool_call'), ('system', 3, 'system')) x(role, k, kind) ON t.role = x.role
+  LEFT JOIN c r ON r.session = t.session AND r.turn = t.turn + 1 AND r.role = 'user' AND r.turn % 4 >= 2 AND t.role = 'assistant'),
+e AS (SELECT session, turns, used, max(greatest(ts, coalesce(item_ended_at, 0))) AS last, min(ts) AS hint FROM i GROUP BY ALL),
+p AS (SELECT session, turns, arg_min(CASE WHEN result THEN m || '#t' ELSE m END, turn) AS prompt, min(ts_ms) AS at FROM t WHERE opens GROUP BY ALL),
+h AS (SELECT e.session, e.turns, p.prompt, coalesce(p.at, min(hint)) AS started_at, max(last) AS last FROM e LEFT JOIN p ON p.session = e.session AND p.turns = e.turns GROUP BY e.session, e.turns, p.prompt, p.at),
+z AS (SELECT s.session, s.turns, s.turn, s.step, s.ts_ms, least(coalesce(lag(e.last) OVER (PARTITION BY s.session, s.turns ORDER BY s.turn), h.started_at), s.ts_ms) AS step_started_at FROM s JOIN e ON e.session = s.session AND e.turns = s.turns AND e.used = s.turn JOIN h ON h.session = s.session AND h.turns = s.turns)
+SELECT i.session, i.turns AS turn, h.prompt, h.started_at, greatest(h.started_at, h.last) AS ended_at, z.step, z.step_started_at, row_number() OVER (PARTITION BY i.session, i.turns, i.used ORDER BY i.turn, i.k) - 1 AS item_no, kind, event, ts, chars, preview, name, item_ended_at, is_error, output_preview, running
+FROM i JOIN h ON h.session = i.session AND h.turns = i.turns LEFT JOIN z ON z.session = i.session AND z.turns = i.turns AND z.turn = i.used"""
