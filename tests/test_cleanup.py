@@ -1,0 +1,106 @@
+"""Cleanup plans against a walk over each tree, and ledgers brought together against plain lists."""
+
+import random
+
+from tracemill.operators import cleanup, ledger
+
+SESSIONS = "session string, parent string, harness string, title string, status string, pid bigint, archived boolean, supported boolean, source_exists boolean"
+TARGETS = "session string, path string, bytes bigint, exists boolean, inside_root boolean, symlink boolean, hardlink boolean"
+
+
+def plain(asked, sessions, targets, sources):
+    by = {s["session"]: s for s in sessions}
+    kids = {}
+    for s in sessions:
+        if s["parent"] and not s["archived"]:
+            kids.setdefault(s["parent"], []).append(s["session"])
+    out = {}
+    for place, key in asked:
+        if key in out:
+            continue
+        s = by.get(key)
+        no = lambda reason, detail=None, children=0: (place, False, reason, detail, children, 0, 0)
+        if s is None:
+            out[key] = no("unknown_session")
+        elif s["archived"]:
+            out[key] = no("archived")
+        elif s["parent"] in by and not by[s["parent"]]["archived"]:
+            out[key] = no("subagent", s["parent"])
+        else:
+            tree, level = [], [key]
+            while level:
+                level = sorted(level)
+                tree += level
+                level = [k for x in level for k in kids.get(x, []) if k not in tree]
+            why = lambda t: "unsupported" if not t["supported"] else "working" if t["status"] == "work" else "live_process" if t["pid"] is not None else "source_missing" if not t["source_exists"] else None
+            bad = next(((why(by[k]), k) for k in tree if why(by[k])), None)
+            if bad:
+                out[key] = no(*bad, len(tree) - 1)
+                continue
+            mine = {}
+            for t in targets:
+                if t["session"] in tree and t["exists"]:
+                    m = mine.setdefault(t["path"], {"bytes": 0, "in": True, "sym": False, "hard": False})
+                    m.update(bytes=max(m["bytes"], t["bytes"]), sym=m["sym"] or t["symlink"], hard=m["hard"] or t["hardlink"])
+                    m["in"] = m["in"] and t["inside_root"]
+            under = lambda p, q: p != q and p.startswith(q + "/")
+            mine = {p: m for p, m in mine.items() if not any(under(p, q) for q in mine)}
+            outside = min((p for p, m in mine.items() if not m["in"]), default=None)
+            link = min(((p, "symlink" if m["sym"] else "hardlink") for p, m in mine.items() if m["sym"] or m["hard"]), default=None)
+            shared = min((o for o, p in sources if o not in tree and any(p == q or under(p, q) for q in mine)), default=None)
+            children = len(tree) - 1
+            if outside:
+                out[key] = no("outside_root", outside, children)
+            elif link:
+                out[key] = no(link[1], link[0], children)
+            elif shared:
+                out[key] = no("shared_target", shared, children)
+            else:
+                size = sum(m["bytes"] for m in mine.values())
+                out[key] = (place, True, None, None, children, size, -(-size // 10))
+    return out
+
+
+def test_plans_of_random_forests(spark):
+    rng = random.Random(11)
+    names = [f"s{k:03}" for k in range(160)]
+    often = lambda p: rng.random() > p
+    sessions = [dict(session=n, parent=rng.choice(names[:k]) if k and not often(0.5) else None, harness="h", title=None, status=rng.choice(["idle"] * 30 + ["work", None]), pid=None if often(0.03) else 7, archived=not often(0.08), supported=often(0.03), source_exists=often(0.03)) for k, n in enumerate(names)]
+    sessions += [dict(session=n, parent=p, harness="h", title="t", status="idle", pid=None, archived=False, supported=True, source_exists=True) for n, p in (("c1", "c2"), ("c2", "c1"), ("orphan", "nowhere"))]
+    targets, sources = [], []
+    for s in sessions:
+        n = s["session"]
+        sources.append((n, f"/r/{n}.jsonl" if often(0.05) else f"/r/{rng.choice(names)}/x/{n}.jsonl"))
+        for p in (sources[-1][1], f"/r/{n}", f"/r/{n}/sub"):
+            targets.append(dict(session=n, path=p, bytes=rng.randrange(1000), exists=often(0.2), inside_root=often(0.02), symlink=not often(0.02), hardlink=not often(0.02)))
+    targets.append(dict(session="orphan", path="/r/s000", bytes=5, exists=True, inside_root=True, symlink=False, hardlink=False))
+    asked = [(k, n) for k, n in enumerate([*names, "c1", "orphan", "missing", "s003", "s003"])]
+    rng.shuffle(asked)
+    asked.sort()
+    frame = lambda rows, schema: spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    got = cleanup.plan(spark.createDataFrame([(n, p) for p, n in asked], "session string, place int"), frame(sessions, SESSIONS), frame(targets, TARGETS), spark.createDataFrame(sources, "session string, path string")).collect()
+    ours = {r["session"]: (r["place"], r["eligible"], r["reason"], r["detail"], r["children"], r["bytes"], r["archive_bytes"]) for r in got}
+    want = plain(asked, sessions, targets, sources)
+    assert len(got) == len(want) and ours == want
+    assert {w[2] for w in want.values()} == {None, *cleanup.REASONS}
+
+
+def test_totals_outcome_and_no_rows(spark):
+    planned = spark.createDataFrame([("a", 1, True, None, 100, 10, 2), ("b", 2, True, None, 50, 5, 0), ("c", 3, True, None, 7, 1, 0), ("d", 4, True, None, 8, 1, 0), ("e", 5, True, None, 9, 1, 0), ("f", 6, True, None, 9, 1, 0), ("g", 7, False, "working", 0, 0, 4)], "session string, place int, eligible boolean, reason string, bytes bigint, archive_bytes bigint, children bigint")
+    assert cleanup.totals(planned).first().asDict() == {"sessions": 7, "eligible": 6, "freed_bytes": 183, "archive_bytes": 19, "children": 2}
+    assert cleanup.totals(planned.limit(0)).first()["freed_bytes"] == 0
+    done = spark.createDataFrame([("a", False, 12, 3, 3), ("b", True, 4, 1, 1), ("c", False, None, 1, 1), ("d", False, 1, 2, 0), ("e", False, 1, 2, 1), ("g", False, 1, 1, 1)], "session string, changed boolean, archive_bytes bigint, files bigint, moved bigint")
+    got = {r["session"]: tuple(r)[1:] for r in cleanup.outcome(planned, done).collect()}
+    assert got == {"a": ("cleaned", None, 100, 12), "b": ("failed", "source_changed", 0, 0), "c": ("failed", "archive_failed", 0, 0), "d": ("failed", "trash_failed", 0, 0), "e": ("partial", "trash_partial", 0, 0), "f": ("skipped", None, 0, 0), "g": ("skipped", "working", 0, 0)}
+    assert set(cleanup.FAILURES) == {v[1] for v in got.values()} - {None, "working"}
+
+
+def test_ledgers_of_several_sources(spark):
+    schema = "session string, source string, id string, seq bigint, ts_ms bigint, kind string, model string, " + ", ".join(f"{c} bigint" for c in ledger.TOKENS)
+    row = lambda s, f, i, seq, ts, kind: (s, f, i, seq, ts, kind, None, *[1] * 5)
+    # The later file comes first in time; positions and ids are the same in both; a third has prompts only, a fourth nothing that counts.
+    rows = [row("s", "b", "u1", 1, 500, "user_message"), row("s", "b", "x1", 2, 510, "usage"), row("s", "b", "u2", 3, 900, "user_message"), row("s", "b", "x2", 4, 910, "usage"), row("s", "a", "u1", 1, 600, "user_message"), row("s", "a", "x1", 2, 905, "usage"), row("s", "c", "p", 1, 100, "user_message"), row("s", "d", "n", 1, 50, "system"), row("t", "a", "u1", 1, 5, "user_message")]
+    turned = ledger.turned(spark.createDataFrame(rows, schema))
+    steps, asked = ledger.combined(turned, ledger.steps(turned), ledger.prompts(turned))
+    assert sorted((r["step_idx"], r["source"], r["id"], r["turn"], r["ts_ms"]) for r in steps.collect()) == [(1, "b", "x1", 2, 510), (2, "a", "x1", 4, 905), (3, "b", "x2", 3, 910)]
+    assert sorted((r["session"], r["source"], r["turn"]) for r in asked.collect()) == [("s", "a", 4), ("s", "b", 2), ("s", "b", 3), ("s", "c", 1), ("t", "a", 1)]

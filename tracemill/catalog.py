@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
-from .operators import document, family, ledger, pricing, search, timeline, usage
+from .operators import cleanup, document, family, ledger, pricing, search, timeline, usage
 from .sinks import files
 from .sources import bridge, databases, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
@@ -185,6 +185,26 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     return document.flat(document.document(turned, steps))
 
 
+def _two_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions whose deliveries stand in two files, by odd and even positions."""
+    turned = settled(ledger.turned(_raw(spark, d).withColumn("source", F.concat(F.lit("f"), (F.col("seq") % 2).cast("string")))))
+    steps, _ = ledger.combined(turned, settled(ledger.steps(turned)), ledger.prompts(turned))
+    return steps.select("session", "source", F.col("id").alias("event"), "step_idx", "turn", "ts_ms", "input")
+
+
+def _cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Every session is asked for; users' files lie in a folder of their own, and some folders are another session's."""
+    own = settled(bridge.sessions(_raw(spark, d)))
+    status = timeline.status(ledger.latest(_raw(spark, d)), NOW).select("session", "status")
+    sessions = own.join(status, "session", "left").select("session", "parent", "harness", F.col("cwd").alias("title"), "status", F.expr("if(user_id % 13 = 5, user_id, null)").alias("pid"), F.expr("n_events % 11 = 3").alias("archived"), F.expr("user_id % 17 <> 4").alias("supported"), F.expr("n_events % 7 <> 2").alias("source_exists"))
+    root = F.concat(F.lit("/h/"), "harness", F.lit("/"), F.col("user_id").cast("string"), F.lit("/"))
+    path = F.concat(root, F.when(F.col("n_events") % 5 == 0, F.lit("all")).otherwise(F.col("session")))
+    targets = own.select("session", F.explode(F.array(F.struct(path.alias("path"), (F.col("n_events") * 100).alias("bytes")), F.struct(F.concat(path, F.lit("/deep")).alias("path"), F.lit(7).cast("bigint").alias("bytes")), F.struct(F.concat(path, F.lit(".side")).alias("path"), (F.col("n_events") % 10).alias("bytes")))).alias("t"), "user_id").select("session", "t.path", "t.bytes", F.expr("t.bytes <> 0").alias("exists"), F.expr("user_id % 19 <> 6").alias("inside_root"), F.expr("t.bytes = 3").alias("symlink"), F.expr("t.bytes = 4").alias("hardlink"))
+    sources = own.select("session", F.concat(root, F.lit("all/"), "session", F.lit(".jsonl")).alias("path"))
+    requested = own.select("session", F.lit(1).alias("place")).unionByName(own.where("n_events % 4 = 0").select(F.concat(F.lit("no:"), "session").alias("session"), F.lit(2).alias("place")))
+    return cleanup.plan(requested, sessions, targets, sources).drop("title")
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -222,6 +242,8 @@ QUERIES: dict = {
     "stream_status": lambda s, d: live.current(_streamed(s, d), "status").select("session", "status", "since", "reason", "last"),
     "transcript_sessions": lambda s, d: jsonl.sessions(_told(s, d, "pi")),
     "transcript_steps": _told_steps,
+    "ledger_two_sources": _two_sources,
+    "cleanup_plan": _cleanup,
     "trajectory_document": _document,
     "tool_results": _told_calls,
     "step_times": lambda s, d: timeline.step_times(_events(s, d), _events(s, d).where("false").selectExpr("session", "id", "ts_ms as ended_at")),
@@ -425,3 +447,27 @@ h AS (SELECT e.session, e.turns, p.prompt, coalesce(p.at, min(hint)) AS started_
 z AS (SELECT s.session, s.turns, s.turn, s.step, s.ts_ms, least(coalesce(lag(e.last) OVER (PARTITION BY s.session, s.turns ORDER BY s.turn), h.started_at), s.ts_ms) AS step_started_at FROM s JOIN e ON e.session = s.session AND e.turns = s.turns AND e.used = s.turn JOIN h ON h.session = s.session AND h.turns = s.turns)
 SELECT i.session, i.turns AS turn, h.prompt, h.started_at, greatest(h.started_at, h.last) AS ended_at, z.step, z.step_started_at, row_number() OVER (PARTITION BY i.session, i.turns, i.used ORDER BY i.turn, i.k) - 1 AS item_no, kind, event, ts, chars, preview, name, item_ended_at, is_error, output_preview, running
 FROM i JOIN h ON h.session = i.session AND h.turns = i.turns LEFT JOIN z ON z.session = i.session AND z.turns = i.turns AND z.turn = i.used"""
+
+# A ledger a file: the file's number is part of the session's name until the ledgers are brought together.
+SQL["ledger_two_sources"] = "WITH " + _STEPS.replace("(ts_ms // 604800000) AS session", "(ts_ms // 604800000) || '|f' || (event_id % 2) AS session") + """,
+q1 AS (SELECT session, max(turn) AS turns, arg_min(ts_ms, seq) FILTER (WHERE kind = 'user_message' AND first) AS b FROM turned GROUP BY 1),
+q2 AS (SELECT session, arg_min(ts_ms, seq) AS a FROM steps GROUP BY 1),
+q3 AS (SELECT q1.session, split_part(q1.session, '|', 1) AS s, turns, coalesce(a, b, 0) AS begun FROM q1 LEFT JOIN q2 ON q1.session = q2.session),
+q4 AS (SELECT session, s, coalesce(sum(turns) OVER (PARTITION BY s ORDER BY begun, session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, row_number() OVER (PARTITION BY s ORDER BY begun, session) AS part FROM q3)
+SELECT q4.s AS session, split_part(steps.session, '|', 2) AS source, event, row_number() OVER (PARTITION BY q4.s ORDER BY ts_ms, part, seq) AS step_idx, CAST(turn + base AS BIGINT) AS turn, ts_ms, input FROM steps JOIN q4 ON steps.session = q4.session"""
+SQL["cleanup_plan"] = "WITH RECURSIVE" + SQL["status_effective"].removeprefix("WITH").rsplit("SELECT session, CASE", 1)[0].rstrip() + """,
+stat AS (SELECT session, CASE WHEN over_ THEN 'idle' ELSE s END AS status FROM f)""" + _SESSIONS[len(_RAW):] + """,
+ev AS (SELECT session, count(DISTINCT id) AS n_events FROM raw GROUP BY 1),
+se AS (SELECT s.session, s.parent, s.harness, s.user_id, stat.status, n_events, CASE WHEN s.user_id % 13 = 5 THEN s.user_id END AS pid, n_events % 11 = 3 AS archived, s.user_id % 17 <> 4 AS supported, n_events % 7 <> 2 AS source_exists, '/h/' || s.harness || '/' || s.user_id || '/' AS root FROM sessions s JOIN ev ON ev.session = s.session LEFT JOIN stat ON stat.session = s.session),
+pa AS (SELECT *, root || CASE WHEN n_events % 5 = 0 THEN 'all' ELSE session END AS path FROM se),
+tg AS (SELECT session, path, n_events * 100 AS bytes, user_id % 19 <> 6 AS inside FROM pa UNION ALL SELECT session, path || '/deep', 7, user_id % 19 <> 6 FROM pa UNION ALL SELECT session, path || '.side', n_events % 10, user_id % 19 <> 6 FROM pa WHERE n_events % 10 <> 0),
+rq AS (SELECT session, 1 AS place FROM se UNION ALL SELECT 'no:' || session, 2 FROM se WHERE n_events % 4 = 0),
+ro AS (SELECT rq.session, rq.place, se.harness, CASE WHEN se.session IS NULL THEN 'unknown_session' WHEN se.archived THEN 'archived' WHEN NOT p.archived THEN 'subagent' END AS early, CASE WHEN NOT p.archived AND NOT se.archived THEN se.parent END AS early_detail FROM rq LEFT JOIN se ON se.session = rq.session LEFT JOIN se p ON p.session = se.parent),
+tr AS (SELECT session AS top, session, CAST(0 AS BIGINT) AS depth FROM ro WHERE early IS NULL UNION ALL SELECT tr.top, se.session, tr.depth + 1 FROM tr JOIN se ON se.parent = tr.session AND NOT se.archived),
+wh AS (SELECT top, count(*) - 1 AS children, min(CASE WHEN why IS NOT NULL THEN {'depth': depth, 'session': session, 'why': why} END) AS s FROM (SELECT tr.*, CASE WHEN NOT supported THEN 'unsupported' WHEN status = 'work' THEN 'working' WHEN pid IS NOT NULL THEN 'live_process' WHEN NOT source_exists THEN 'source_missing' END AS why FROM tr JOIN se ON se.session = tr.session) GROUP BY 1),
+mv AS (SELECT top, path, max(bytes) AS bytes, bool_and(inside) AS inside FROM tr JOIN tg ON tg.session = tr.session GROUP BY ALL),
+mm AS (SELECT * FROM mv WHERE NOT EXISTS (SELECT 1 FROM mv o WHERE o.top = mv.top AND o.path <> mv.path AND starts_with(mv.path, o.path || '/'))),
+pt AS (SELECT top, sum(bytes) AS bytes, min(CASE WHEN NOT inside THEN path END) AS outside, min(CASE WHEN bytes IN (3, 4) THEN {'path': path, 'why': CASE bytes WHEN 3 THEN 'symlink' ELSE 'hardlink' END} END) AS l FROM mm GROUP BY 1),
+sh AS (SELECT mm.top, min(o.session) AS shared FROM mm JOIN se o ON starts_with(o.root || 'all/' || o.session || '.jsonl', mm.path || '/') WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.top = mm.top AND tr.session = o.session) GROUP BY 1),
+fi AS (SELECT ro.*, coalesce(wh.children, 0) AS children, coalesce(early, wh.s.why, CASE WHEN outside IS NOT NULL THEN 'outside_root' END, l.why, CASE WHEN shared IS NOT NULL THEN 'shared_target' END) AS reason, CASE WHEN early IS NOT NULL THEN early_detail WHEN wh.s IS NOT NULL THEN wh.s.session ELSE coalesce(outside, l.path, shared) END AS detail, coalesce(pt.bytes, 0) AS b FROM ro LEFT JOIN wh ON wh.top = ro.session LEFT JOIN pt ON pt.top = ro.session LEFT JOIN sh ON sh.top = ro.session)
+SELECT session, place, harness, children, reason IS NULL AS eligible, reason, detail, CAST(CASE WHEN reason IS NULL THEN b ELSE 0 END AS BIGINT) AS bytes, CAST(ceil(CASE WHEN reason IS NULL THEN b ELSE 0 END / 10.0) AS BIGINT) AS archive_bytes FROM fi"""

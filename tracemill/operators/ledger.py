@@ -11,6 +11,11 @@ CLOSERS = ("usage", "assistant_message", "reasoning", "tool_call", "tool_result"
 TOKENS = ("input", "output", "cache_read", "cache_write", "reasoning")
 
 
+def _of(rows: DataFrame) -> list[str]:
+    """What tells one ledger: the session, and the source where sessions can have several."""
+    return ["session", "source"] if "source" in rows.columns else ["session"]
+
+
 def latest(raw: DataFrame) -> DataFrame:
     """One row an event id: its first position with its latest content."""
     content = [c for c in raw.columns if c not in ("session", "id", "seq")]
@@ -25,8 +30,9 @@ def turned(raw: DataFrame) -> DataFrame:
     first-seen prompt or turn start opens a turn unless the last relevant event before it did too. Source order counts,
     not time. A session's events meet in one task; that is the unit that order is defined in.
     """
-    by_id, order = Window.partitionBy("session", "id").orderBy("seq"), Window.partitionBy("session").orderBy("seq")
-    seen = raw.repartition("session").withColumn("first", F.row_number().over(by_id) == 1)
+    of = _of(raw)
+    by_id, order = Window.partitionBy(*of, "id").orderBy("seq"), Window.partitionBy(*of).orderBy("seq")
+    seen = raw.repartition(*of).withColumn("first", F.row_number().over(by_id) == 1)
     opens = F.col("kind").isin(*BOUNDARIES) & F.col("first")
     if "synthetic" in raw.columns:
         opens = opens & ~F.coalesce("synthetic", F.lit(False))
@@ -41,10 +47,11 @@ def steps(events: DataFrame) -> DataFrame:
     """One row a model call: numbers of its last delivery, turn and position of its first; the last model it named itself, else the one that held first."""
     usage = events.where("kind = 'usage'")
     kept = [c for c in ("harness", "cwd", "user_id") if c in events.columns]
-    out = usage.groupBy("session", "id", *kept).agg(
+    of = _of(events)
+    out = usage.groupBy(*of, "id", *kept).agg(
         F.min("seq").alias("seq"), F.min_by("turn", "seq").alias("turn"), F.max_by("ts_ms", "seq").alias("ts_ms"), *[F.max_by(c, "seq").alias(c) for c in TOKENS],
         F.coalesce(F.expr("max_by(model, seq) filter (where model is not null)"), F.min_by("fill", "seq")).alias("model"))
-    return out.withColumn("step_idx", F.row_number().over(Window.partitionBy("session").orderBy("seq")).cast("bigint"))
+    return out.withColumn("step_idx", F.row_number().over(Window.partitionBy(*of).orderBy("seq")).cast("bigint"))
 
 
 def prompts(events: DataFrame) -> DataFrame:
@@ -56,3 +63,22 @@ def prompts(events: DataFrame) -> DataFrame:
 def final_models(events: DataFrame) -> DataFrame:
     """(session, final_model): the model that held last."""
     return events.where("fill is not null").groupBy("session").agg(F.max_by("fill", "seq").alias("final_model"))
+
+
+def combined(events: DataFrame, found: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One ledger a session from several sources': steps and prompts with their turns counted on from source to source.
+
+    ``events``, ``found`` (steps) and ``asked`` (prompts) have a ``source``. Sources are taken in the order of their first
+    step's time, else their first prompt's, else as if at 0; of equal times by name. Steps are numbered by time, those of
+    one time by source and position. A session with one source stays as it is but for steps whose times run backwards.
+    """
+    keys = ["session", "source"]
+    turns = events.groupBy(*keys).agg(F.max("turn").alias("turns"))
+    first = lambda rows, name: rows.groupBy(*keys).agg(F.min_by("ts_ms", "seq").alias(name))
+    parts = turns.join(first(found, "a"), keys, "left").join(first(asked, "b"), keys, "left").withColumn("at", F.coalesce("a", "b", F.lit(0)))
+    order = Window.partitionBy("session").orderBy("at", "source")
+    base = F.coalesce(F.sum("turns").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.select(*keys, base.alias("base"), F.row_number().over(order).alias("part"))
+    moved = lambda rows: rows.join(placed, keys).withColumn("turn", F.col("turn") + F.col("base"))
+    steps_ = moved(found).withColumn("step_idx", F.row_number().over(Window.partitionBy("session").orderBy("ts_ms", "part", "seq")).cast("bigint"))
+    return steps_.drop("base", "part"), moved(asked).drop("base", "part")
