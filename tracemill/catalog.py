@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
-from .operators import cleanup, document, family, ledger, pricing, search, timeline, usage
+from .operators import catalogs, cleanup, document, family, ledger, pricing, search, timeline, usage
 from .sinks import files
 from .sources import bridge, databases, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
@@ -205,6 +205,32 @@ def _cleanup(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.plan(requested, sessions, targets, sources).drop("title")
 
 
+def _synced(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog of groups of customers, read each month: a group's price is its least order's. Every third month only the fallback has it; some months the primary can't be read, and some prices are zero."""
+    orders = bridge.table(spark, d, "orders").select(F.expr("concat('c', o_custkey % 40)").alias("buyer"), F.expr("year(o_orderdate) * 12 + month(o_orderdate)").cast("bigint").alias("read"), F.floor("o_totalprice").alias("p"))
+    price = F.expr("if(p % 7 = 0, 0D, p / 1000D)")
+    seen = orders.groupBy("read", F.col("buyer").alias("key")).agg(F.min("p").alias("p")).withColumn("i", price)
+    rates = F.expr(f"cast(named_struct('input', i, 'output', 2 * i, 'cache_read', null, 'cache_write', null, 'tiers', array()) as {catalogs.RATES})")
+    observed = seen.select("read", "key", F.expr(f"if(read % 3 = 0, '{catalogs.FALLBACK}', '{catalogs.PRIMARY}')").alias("source"), rates.alias("rates"))
+    reads = seen.select("read").distinct().select("read", (F.col("read") * 1000).alias("at"), F.expr("read % 3 <> 0 or read % 2 = 0").alias("primary_ok"))
+    base = spark.createDataFrame([], f"key string, source string, prices {catalogs.SEGMENTS}, pending {catalogs.RATES}")
+    found = catalogs.synced(base, observed, reads)
+    last = F.element_at("prices", -1)
+    return found.select("key", "owner", F.size("prices").cast("bigint").alias("segments"), last["from"].alias("since"), last["rates"]["input"].alias("input"), F.col("pending.input").alias("pending"), "added", "changed")
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as price lists in both files: some brands are sold by a first-party vendor, most by resellers, some for nothing."""
+    part = bridge.table(spark, d, "part").select("p_partkey", F.regexp_replace("p_brand", "Brand#", "b").alias("b"), "p_size", F.floor("p_retailprice").alias("r"))
+    vendor = "if(p_partkey % 211 = 0, if(p_partkey % 2 = 0, 'openai', 'google'), concat('seller', p_size % 9))"
+    raw = "concat(if(p_size % 3 = 0, 'x/', ''), 'm-', b, '.', p_size % 3, if(p_size % 5 = 0, '-free', ''))"
+    cost = "named_struct('input', if(p_size % 5 = 0, 0D, cast(r as double)), 'output', if(p_size % 5 = 0, 0D, p_size * 2D), 'cache_read', if(p_size % 2 = 0, p_size / 4D, null))"
+    one = part.select(F.expr(f"to_json(map({vendor}, named_struct('models', map({raw}, named_struct('cost', {cost}, 'limit', named_struct('context', p_size * 1000))))))").alias("text"))
+    two = part.where("p_partkey % 3 = 0").select(F.expr("to_json(map(concat('k-', b, '.', p_size % 4), named_struct('litellm_provider', if(p_partkey % 2 = 0, 'gemini', 'openai'), 'input_cost_per_token', r / 1000000D, 'output_cost_per_token', p_size / 1000000D, 'max_input_tokens', p_partkey % 2)))").alias("text"))
+    found = catalogs.filled(catalogs.merged(catalogs.by_provider(one), catalogs.by_token(two)))
+    return found.where("consensus or source <> 'models.dev'").groupBy("key").agg(F.min("source").alias("source"), F.min("context_limit").alias("context_limit"), F.count("*").alias("n"), F.min("rates.input").alias("least"), F.min("rates.output").alias("output"), F.min("rates.cache_read").alias("cache_read")).where(F.expr("source = 'models.dev'")).select("key", "n", "context_limit", F.col("least").alias("input"), "output", "cache_read")
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -244,6 +270,8 @@ QUERIES: dict = {
     "transcript_steps": _told_steps,
     "ledger_two_sources": _two_sources,
     "cleanup_plan": _cleanup,
+    "catalog_sync": _synced,
+    "catalog_listed": _listed,
     "trajectory_document": _document,
     "tool_results": _told_calls,
     "step_times": lambda s, d: timeline.step_times(_events(s, d), _events(s, d).where("false").selectExpr("session", "id", "ts_ms as ended_at")),
@@ -471,3 +499,17 @@ pt AS (SELECT top, sum(bytes) AS bytes, min(CASE WHEN NOT inside THEN path END)
 sh AS (SELECT mm.top, min(o.session) AS shared FROM mm JOIN se o ON starts_with(o.root || 'all/' || o.session || '.jsonl', mm.path || '/') WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.top = mm.top AND tr.session = o.session) GROUP BY 1),
 fi AS (SELECT ro.*, coalesce(wh.children, 0) AS children, coalesce(early, wh.s.why, CASE WHEN outside IS NOT NULL THEN 'outside_root' END, l.why, CASE WHEN shared IS NOT NULL THEN 'shared_target' END) AS reason, CASE WHEN early IS NOT NULL THEN early_detail WHEN wh.s IS NOT NULL THEN wh.s.session ELSE coalesce(outside, l.path, shared) END AS detail, coalesce(pt.bytes, 0) AS b FROM ro LEFT JOIN wh ON wh.top = ro.session LEFT JOIN pt ON pt.top = ro.session LEFT JOIN sh ON sh.top = ro.session)
 SELECT session, place, harness, children, reason IS NULL AS eligible, reason, detail, CAST(CASE WHEN reason IS NULL THEN b ELSE 0 END AS BIGINT) AS bytes, CAST(ceil(CASE WHEN reason IS NULL THEN b ELSE 0 END / 10.0) AS BIGINT) AS archive_bytes FROM fi"""
+
+SQL["catalog_sync"] = """WITH RECURSIVE p AS (SELECT 'c' || (o_custkey % 40) AS key, year(o_orderdate) * 12 + month(o_orderdate) AS r, min(CAST(floor(o_totalprice) AS BIGINT)) AS p FROM orders GROUP BY ALL),
+o AS (SELECT key, r, CASE WHEN p % 7 = 0 THEN 0 ELSE p / 1000.0::DOUBLE END AS i, r % 3 <> 0 AS prim, row_number() OVER (PARTITION BY key ORDER BY r) AS n FROM p),
+w AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS BIGINT) AS segments, CAST(0 AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS input, CAST(NULL AS DOUBLE) AS pending, CAST(NULL AS BIGINT) AS added, CAST(NULL AS BIGINT) AS changed FROM o
+ UNION ALL SELECT key, n, CASE WHEN fresh THEN CASE WHEN prim THEN 'models.dev' ELSE 'litellm' END ELSE owner END, CASE WHEN fresh THEN 1 WHEN moved THEN segments + 1 ELSE segments END, CASE WHEN fresh THEN 0 WHEN moved THEN r * 1000 ELSE since END, CASE WHEN fresh THEN i WHEN moved THEN next ELSE input END,
+  CASE WHEN skip OR fresh THEN pending WHEN same OR moved THEN NULL ELSE next END, CASE WHEN fresh THEN r * 1000 ELSE added END, CASE WHEN moved AND NOT fresh THEN r * 1000 ELSE changed END
+ FROM (SELECT *, NOT skip AND owner IS NULL AS fresh, NOT skip AND owner IS NOT NULL AND NOT same AND (NOT far OR coalesce(pending = next, false)) AS moved FROM (SELECT w.key, o.n, w.owner, w.segments, w.since, w.input, w.pending, w.added, w.changed, o.r, o.i, o.prim, CASE WHEN o.i > 0 THEN o.i ELSE w.input END AS next,
+   NOT o.prim AND NOT (o.r % 2 = 0) AND coalesce(w.owner = 'models.dev', false) AS skip, (CASE WHEN o.i > 0 THEN o.i ELSE w.input END) = w.input AS same, CASE WHEN w.input > 0 THEN abs((CASE WHEN o.i > 0 THEN o.i ELSE w.input END) - w.input) / w.input ELSE 1e9 END > 0.5 AS far FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)))
+SELECT key, owner, segments, since, input, pending, added, changed FROM w WHERE n = (SELECT max(o.n) FROM o WHERE o.key = w.key) AND owner IS NOT NULL"""
+SQL["catalog_listed"] = """WITH l AS (SELECT p_partkey, p_size, CAST(floor(p_retailprice) AS BIGINT) AS r, 'm-' || replace(p_brand, 'Brand#', 'b') || '.' || (p_size % 3) || CASE WHEN p_size % 5 = 0 THEN '-free' ELSE '' END AS id, p_partkey % 211 = 0 AS own FROM part),
+k AS (SELECT *, lower(regexp_replace(id, '(\\d)\\.(\\d)', '\\1-\\2')) AS key FROM l), f AS (SELECT DISTINCT key FROM k WHERE own), t AS (SELECT * FROM k WHERE NOT own AND key NOT IN (SELECT key FROM f)),
+a AS (SELECT key, median(p_size * 1000) AS c, median(r) AS i, median(p_size * 2.0::DOUBLE) AS o, median(p_size / 4.0::DOUBLE) FILTER (WHERE p_size % 2 = 0) AS cr FROM t WHERE p_size % 5 <> 0 GROUP BY 1),
+z AS (SELECT DISTINCT key FROM t WHERE p_size % 5 = 0 AND replace(key, '-free', '') NOT IN (SELECT key FROM f UNION SELECT key FROM a))
+SELECT key, CAST(1 AS BIGINT) AS n, CAST(round(c) AS BIGINT) AS context_limit, CAST(i AS DOUBLE) AS input, o AS output, CAST(coalesce(round(cr, 6), i) AS DOUBLE) AS cache_read FROM a UNION ALL SELECT key, 1, NULL, 0, 0, 0 FROM z"""
