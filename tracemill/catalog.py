@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import catalogs, cleanup, document, family, ledger, pricing, search, timeline, usage
-from .sinks import files
+from .sinks import archive, files
 from .sources import bridge, databases, decoders, follow, jsonl, samples
 from .storage import new_folder, once, settled
 from .streaming import sessions as live
@@ -231,6 +231,17 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
     return found.where("consensus or source <> 'models.dev'").groupBy("key").agg(F.min("source").alias("source"), F.min("context_limit").alias("context_limit"), F.count("*").alias("n"), F.min("rates.input").alias("least"), F.min("rates.output").alias("output"), F.min("rates.cache_read").alias("cache_read")).where(F.expr("source = 'models.dev'")).select("key", "n", "context_limit", F.col("least").alias("input"), "output", "cache_read")
 
 
+def _archived(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as events of sessions by source, some with a picture in them: written as archives and read back."""
+    docs = bridge.table(spark, d, "documents")
+    text = F.expr("if(doc_id % 5 = 0, concat(text, ' ', repeat(base64(unhex(sha2('Aa0', 256))), 8), ' end'), text)")
+    events = docs.select(F.concat(F.lit("doc:"), (F.col("doc_id") % 50).cast("string")).alias("session"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.expr("if(doc_id % 3 = 0, 'tool_result', 'assistant_message')").alias("kind"), text.alias("text"))
+    folder = new_folder(spark, "archive")
+    archive.write(events.groupBy("session").agg(F.count("*").alias("n_events")), archive.compacted(events), folder)
+    v = F.from_json("record", "id string, seq bigint, text string, truncated boolean")
+    return archive.read(spark, folder).where("line > 0").select(v.alias("v")).select("v.id", "v.truncated", F.octet_length("v.text").cast("bigint").alias("n_bytes"), F.sha2("v.text", 256).alias("sha256"))
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -270,6 +281,7 @@ QUERIES: dict = {
     "transcript_steps": _told_steps,
     "ledger_two_sources": _two_sources,
     "cleanup_plan": _cleanup,
+    "archive_compact": _archived,
     "catalog_sync": _synced,
     "catalog_listed": _listed,
     "trajectory_document": _document,
@@ -513,3 +525,7 @@ k AS (SELECT *, lower(regexp_replace(id, '(\\d)\\.(\\d)', '\\1-\\2')) AS key FRO
 a AS (SELECT key, median(p_size * 1000) AS c, median(r) AS i, median(p_size * 2.0::DOUBLE) AS o, median(p_size / 4.0::DOUBLE) FILTER (WHERE p_size % 2 = 0) AS cr FROM t WHERE p_size % 5 <> 0 GROUP BY 1),
 z AS (SELECT DISTINCT key FROM t WHERE p_size % 5 = 0 AND replace(key, '-free', '') NOT IN (SELECT key FROM f UNION SELECT key FROM a))
 SELECT key, CAST(1 AS BIGINT) AS n, CAST(round(c) AS BIGINT) AS context_limit, CAST(i AS DOUBLE) AS input, o AS output, CAST(coalesce(round(cr, 6), i) AS DOUBLE) AS cache_read FROM a UNION ALL SELECT key, 1, NULL, 0, 0, 0 FROM z"""
+
+_CUT = "CASE WHEN octet_length(encode(t)) <= most THEN t ELSE coalesce(" + ", ".join(f"try(decode(encode(t)[1:most - {k}]))" for k in range(4)) + ") END"
+SQL["archive_compact"] = f"""WITH e AS (SELECT doc_id, doc_id % 5 = 0 AS pic, CASE WHEN doc_id % 3 = 0 THEN 2048 ELSE 16384 END AS most, CASE WHEN doc_id % 5 = 0 THEN text || ' [binary omitted: 352 bytes] end' ELSE text END AS t FROM documents),
+c AS (SELECT *, {_CUT} AS cut FROM e) SELECT 'd' || doc_id AS id, pic OR cut <> t AS truncated, octet_length(encode(cut)) AS n_bytes, sha256(cut) AS sha256 FROM c"""
