@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
 from .operators import catalogs, cleanup, document, family, ledger, pricing, search, timeline, usage
 from .sinks import archive, files
-from .sources import bridge, databases, decoders, follow, jsonl, samples
+from .sources import bridge, databases, decoders, follow, jsonl, samples, zstd
 from .storage import new_folder, once, settled
 from .streaming import sessions as live
 
@@ -128,6 +128,13 @@ def _stored(harness: str):
     return run
 
 
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations in files of zstd frames, read in small pieces and decoded."""
+    folder = new_folder(spark, "zstd")
+    files.write(samples.framed(samples.files(spark, d, "claude")), folder)
+    return jsonl.named(decoders.claude(zstd.scan(spark, folder, piece=1 << 12)), "claude").where("kind <> 'meta'").select(*SHOWN).withColumn("session", F.regexp_replace("session", r"\.jsonl$", ""))
+
+
 def _followed(spark: SparkSession, d: str) -> DataFrame:
     """Files that grow in three steps, cut anywhere, each followed by a stream to its end; what the stream kept is decoded."""
     folder = new_folder(spark, "follow")
@@ -274,6 +281,7 @@ QUERIES: dict = {
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
     **{f"scan_{h}": _scanned(h) for h in decoders.DECODERS},
     **{f"database_{h}": _stored(h) for h in databases.DECODERS},
+    "scan_zstd_frames": _framed,
     "follow_appended": _followed,
     "stream_steps": lambda s, d: live.current(_streamed(s, d), "step").select("session", F.col("id").alias("event"), "step_idx", "turn", "ts_ms", "model", "input"),
     "stream_status": lambda s, d: live.current(_streamed(s, d), "status").select("session", "status", "since", "reason", "last"),
@@ -529,3 +537,4 @@ SELECT key, CAST(1 AS BIGINT) AS n, CAST(round(c) AS BIGINT) AS context_limit, C
 _CUT = "CASE WHEN octet_length(encode(t)) <= most THEN t ELSE coalesce(" + ", ".join(f"try(decode(encode(t)[1:most - {k}]))" for k in range(4)) + ") END"
 SQL["archive_compact"] = f"""WITH e AS (SELECT doc_id, doc_id % 5 = 0 AS pic, CASE WHEN doc_id % 3 = 0 THEN 2048 ELSE 16384 END AS most, CASE WHEN doc_id % 5 = 0 THEN text || ' [binary omitted: 352 bytes] end' ELSE text END AS t FROM documents),
 c AS (SELECT *, {_CUT} AS cut FROM e) SELECT 'd' || doc_id AS id, pic OR cut <> t AS truncated, octet_length(encode(cut)) AS n_bytes, sha256(cut) AS sha256 FROM c"""
+SQL["scan_zstd_frames"] = _TOLD["decode_claude"]

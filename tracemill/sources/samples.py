@@ -10,6 +10,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,6 +72,19 @@ def files(spark: SparkSession, sf_dir: str, harness: str) -> DataFrame:
     return told.select(F.concat(F.lit("d"), F.expr("cast(session as bigint) % 7"), F.lit("/"), "session", F.lit(".jsonl")).alias("path"), F.concat(F.array_join(each, "\n"), F.lit("\n")).alias("content"))
 
 
+def framed(files: DataFrame, each: int = 3) -> DataFrame:
+    """(path, content) of ``files`` of lines as zstd frames of so many lines, one frame after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
+        for batch in batches:
+            split = [c.encode().splitlines(True) for c in batch.column("content").to_pylist()]
+            bodies = [b"".join(press.compress(b"".join(x[k : k + each])) for k in range(0, len(x), each)) for x in split]
+            yield pa.RecordBatch.from_arrays([pa.array([p + ".zstd" for p in batch.column("path").to_pylist()]), pa.array(bodies, pa.binary())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
 #: The harnesses' tables, as far as conversations fill them.
 DDL = {
     "opencode": "CREATE TABLE session (id TEXT PRIMARY KEY, parent_id TEXT, directory TEXT, title TEXT, time_created INTEGER, time_updated INTEGER); CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, data TEXT); CREATE TABLE part (n INTEGER PRIMARY KEY, id TEXT, message_id TEXT, session_id TEXT, time_created INTEGER, data TEXT);",
