@@ -27,11 +27,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """The ledger's priced steps: written once an application, as reports read them again and again."""
     found = lambda: once(spark, "found", f"{d}/events.parquet", lambda: ledger.steps(_events(spark, d)).withColumnRenamed("id", "event"))
-    return once(spark, "steps", f"{d}/events.parquet", lambda: pricing.priced(found(), pricing.sample_catalog(spark)))
+    return once(spark, "steps", f"{d}/events.parquet", lambda: pricing.priced(found(), pricing.sample_catalog(spark)), version=repr(pricing.SAMPLE))
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, "facts", f"{d}/events.parquet", lambda: usage.facts(_steps(spark, d), _events(spark, d)))
+    return once(spark, "facts", f"{d}/events.parquet", lambda: usage.facts(_steps(spark, d), _events(spark, d)), version=repr(pricing.SAMPLE))
 
 
 def _by(name: str, **how):
@@ -59,6 +59,21 @@ def _family(spark: SparkSession, d: str) -> DataFrame:
     return family.totals(bridge.sessions(_raw(spark, d)), totals)
 
 
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """The page before each session's newest event."""
+    events = ledger.latest(_raw(spark, d)).select("session", "id", "seq", "kind")
+    return timeline.page(events, 3, events.groupBy("session").agg(F.max("seq").alias("before")))
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The first sessions of each sort, and days by their default one."""
+    each = [usage.ordered(_facts(spark, d), "session", how, 7).withColumn("sort", F.lit(how)) for how in usage.SORTS] + [usage.ordered(_facts(spark, d), "day", limit=7).withColumn("sort", F.lit("day"))]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("sort", "place", "key", "label", "sessions", "steps", "prompts", "input", "cost")
+
+
 def _around(spark: SparkSession, d: str) -> DataFrame:
     events = ledger.latest(_raw(spark, d)).select("session", "id", "seq", "kind")
     anchors = events.where("kind <> 'system'").groupBy("session").agg(F.min_by("id", "seq").alias("id"))
@@ -270,13 +285,16 @@ QUERIES: dict = {
     "family_totals": _family,
     "family_ancestors": lambda s, d: family.ancestors(bridge.sessions(_raw(s, d))),
     "status_effective": lambda s, d: timeline.status(ledger.latest(_raw(s, d)), NOW),
-    "events_page": lambda s, d: timeline.page(ledger.latest(_raw(s, d)).select("session", "id", "seq", "kind"), 3, 5000),
+    "events_page": _paged,
     "events_oldest": lambda s, d: timeline.oldest(ledger.latest(_raw(s, d)).select("session", "id", "seq", "kind"), 2),
     "events_around": _around,
     "trajectory_items": lambda s, d: timeline.trajectory(_events(s, d)),
     "sessions_filtered": lambda s, d: bridge.sessions(_raw(s, d)).where(search.session_filter(harness=["Alpha", "beta"], inside="REPO1", since=MIDDLE)).select("session", "harness", "updated_at"),
     "sessions_not_filtered": lambda s, d: bridge.sessions(_raw(s, d)).where(search.session_filter(has_parent=True, starts="alpha:", negate=True)).select("session", "parent"),
     "fts_sessions": _search,
+    "fts_page": lambda s, d: search.sessions_page(_search(s, d), _docs(s, d)[1], 3, 1),
+    "fts_kinds": lambda s, d: search.search(_docs(s, d)[0].withColumn("kind", F.expr("element_at(array('user', 'assistant', 'tool'), cast(event % 3 + 1 as int))")), TERMS, WITHOUT, _docs(s, d)[1].where("session <> 'src:src3'"), NOW, kinds=["user", "tool"]),
+    "usage_ordered": _ordered,
     "fts_scan": lambda s, d: search.scan(_docs(s, d)[0], ["qu", "LE"], 25),
     **{f"decode_{h}": _decoded(h) for h in decoders.DECODERS},
     **{f"scan_{h}": _scanned(h) for h in decoders.DECODERS},
@@ -437,7 +455,7 @@ SQL: dict[str, str] = {
     "family_totals": f"WITH RECURSIVE {_STEPS}, {_SESSIONS.removeprefix(_RAW).lstrip(',')}{_PAIRS}, u AS (SELECT session, count(*) AS steps, sum(input) AS input, sum(output) AS output, sum(pico) AS pico FROM steps GROUP BY 1), b AS (SELECT ancestor AS root, session, 1 AS n FROM pairs UNION ALL SELECT DISTINCT ancestor, ancestor, 0 FROM pairs) SELECT root, CAST(sum(n) AS BIGINT) AS sessions, CAST(coalesce(sum(steps), 0) AS BIGINT) AS steps, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, {_USD} AS cost FROM b LEFT JOIN u ON b.session = u.session GROUP BY 1",
     "family_ancestors": f"WITH RECURSIVE {_SESSIONS}{_PAIRS} SELECT session, ancestor, depth FROM pairs",
     "status_effective": f"WITH {_LATEST}, a AS (SELECT *, CASE WHEN kind = 'turn_end' THEN 'idle' ELSE 'work' END AS s FROM latest WHERE kind NOT IN ('usage', 'system')), b AS (SELECT *, max(ts_ms) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, coalesce(lag(s) OVER (PARTITION BY session ORDER BY seq) <> s, true) AS flip FROM a), c AS (SELECT session, arg_max(s, seq) AS s, arg_max(kind, seq) AS reason, max(run) AS last, arg_max(run, seq) FILTER (WHERE flip) AS since FROM b GROUP BY 1), d AS (SELECT *, CASE WHEN reason = 'assistant_message' THEN 90000 ELSE 600000 END AS w FROM c), f AS (SELECT *, s = 'work' AND {NOW} - last > w AS over_ FROM d) SELECT session, CASE WHEN over_ THEN 'idle' ELSE s END AS status, CASE WHEN over_ THEN last + w ELSE since END AS since, CASE WHEN over_ THEN 'stale' ELSE reason END AS reason, last FROM f",
-    "events_page": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS rn FROM latest WHERE seq < 5000) SELECT session, id, seq, kind FROM r WHERE rn <= 3",
+    "events_page": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY session) AS n FROM latest WINDOW w AS (PARTITION BY session ORDER BY seq DESC)) SELECT session, id, seq, kind, CASE WHEN n > 4 THEN min(seq) OVER (PARTITION BY session) END AS next_before FROM r WHERE rn BETWEEN 2 AND 4",
     "events_oldest": f"WITH {_LATEST}, r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY seq) AS rk FROM latest) SELECT session, id, seq, kind FROM r WHERE rk <= 2",
     "events_around": f"WITH {_LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn, count(*) OVER (PARTITION BY session) AS n FROM latest), a AS (SELECT session, min(seq) AS seq FROM latest WHERE kind <> 'system' GROUP BY 1), p AS (SELECT r.session, rn, n, least(n - rn, 4 - least(2, rn - 1)) AS after FROM r JOIN a ON r.session = a.session AND r.seq = a.seq) SELECT r.session, r.id, r.seq, r.kind FROM r JOIN p ON r.session = p.session AND r.rn BETWEEN p.rn - least(p.rn - 1, 4 - after) AND p.rn + after",
     "trajectory_items": f"WITH {_TURNED}, a AS (SELECT *, first_value(CASE WHEN kind = 'usage' THEN id END IGNORE NULLS) OVER w AS step, first_value(CASE WHEN kind = 'usage' THEN ts_ms END IGNORE NULLS) OVER w AS step_ended_at FROM turned WHERE first WINDOW w AS (PARTITION BY session, turn ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT session, turn, seq, id, kind, step, step_ended_at FROM a WHERE kind <> 'usage'",
@@ -538,3 +556,15 @@ _CUT = "CASE WHEN octet_length(encode(t)) <= most THEN t ELSE coalesce(" + ", ".
 SQL["archive_compact"] = f"""WITH e AS (SELECT doc_id, doc_id % 5 = 0 AS pic, CASE WHEN doc_id % 3 = 0 THEN 2048 ELSE 16384 END AS most, CASE WHEN doc_id % 5 = 0 THEN text || ' [binary omitted: 352 bytes] end' ELSE text END AS t FROM documents),
 c AS (SELECT *, {_CUT} AS cut FROM e) SELECT 'd' || doc_id AS id, pic OR cut <> t AS truncated, octet_length(encode(cut)) AS n_bytes, sha256(cut) AS sha256 FROM c"""
 SQL["scan_zstd_frames"] = _TOLD["decode_claude"]
+
+SQL["fts_page"] = f"WITH f AS ({SQL['fts_sessions']}), up AS (SELECT 'src:' || source AS session, 1704067200000 + max(doc_id) * 60000 AS updated_at FROM documents GROUP BY source), g AS (SELECT f.session, max(score) AS score, count(*) AS hits, any_value(updated_at) AS updated_at FROM f JOIN up ON up.session = f.session GROUP BY 1) SELECT row_number() OVER (ORDER BY score DESC, updated_at DESC, session) AS place, session, score, hits FROM g QUALIFY place BETWEEN 2 AND 4"
+SQL["fts_kinds"] = SQL["fts_sessions"].replace("AND NOT contains(f, 'casino')", "AND NOT contains(f, 'casino') AND event % 3 <> 1 AND session <> 'src:src3'")
+
+
+def _first(sort: str, key: str, order: str) -> str:
+    return f"SELECT '{sort}' AS sort, place, CASE WHEN place < 8 THEN any_value(k) ELSE '(other)' END AS key, CASE WHEN place < 8 THEN any_value(k) ELSE count(DISTINCT k) || ' more' END AS label, count(DISTINCT session) AS sessions, CAST(sum(is_step) AS BIGINT) AS steps, CAST(sum(is_prompt) AS BIGINT) AS prompts, CAST(sum(input) AS BIGINT) AS input, {_USD} AS cost FROM (SELECT facts.*, {key} AS k, least(8, p) AS place FROM facts JOIN (SELECT {key} AS kk, row_number() OVER (ORDER BY {order}{key}) AS p FROM facts GROUP BY 1) ON kk = {key}) GROUP BY place"
+
+
+_TOKENS = "sum(input + output + cache_read + cache_write) DESC, "
+_ORDERS = {"auto": "coalesce(sum(pico), 0) DESC, " + _TOKENS, "cost": "coalesce(sum(pico), 0) DESC, " + _TOKENS, "tokens": _TOKENS, "steps": "sum(is_step) DESC, ", "sessions": "count(DISTINCT session) DESC, ", "prompts": "sum(is_prompt) DESC, ", "key": ""}
+SQL["usage_ordered"] = f"WITH {_FACTS} " + " UNION ALL ".join([*[_first(s, "session", o) for s, o in _ORDERS.items()], _first("day", _wall("%Y-%m-%d"), "")])

@@ -67,7 +67,8 @@ def priced(steps: DataFrame, catalog: DataFrame) -> DataFrame:
     above; a missing cache-write price is 1.25 of the input price. A positive ``reported`` cost (USD) comes before the
     catalog; a step without any tokens, reasoning included, costs nothing whatever its model.
     """
-    known = F.broadcast(model_map(steps, catalog).join(catalog.select("id", "prices"), "id").withColumnRenamed("id", "id_"))
+    # Spark broadcasts the names if they are few; how many there are grows with the steps.
+    known = model_map(steps, catalog).join(catalog.select("id", "prices"), "id").withColumnRenamed("id", "id_")
     with_price = steps.join(known, "model", "left")
     segment = F.expr("coalesce(try_element_at(filter(prices, s -> s.from <= ts_ms), -1), try_element_at(prices, 1))")
     out = with_price.withColumn("seg", segment).withColumn("prompt", F.col("input") + F.col("cache_read") + F.col("cache_write"))

@@ -36,10 +36,11 @@ def session_filter(harness: list[str] | None = None, inside: str | None = None,
     return ~both if negate else both
 
 
-def search(docs: DataFrame, terms: list[str], without: list[str], sessions: DataFrame, now: int) -> DataFrame:
+def search(docs: DataFrame, terms: list[str], without: list[str], sessions: DataFrame, now: int, kinds: list[str] | None = None) -> DataFrame:
     """Up to three best hits of each session: all ``terms`` (three characters or more) in a document's folded text, none of ``without``.
 
-    ``docs``: session, event, ts_ms, text; ``sessions``: session, updated_at. The corpus statistics are one row.
+    ``docs``: session, event, ts_ms, text, and kind where ``kinds`` are asked for; ``sessions``: session, updated_at, those
+    that are searched. The corpus statistics are one row, of all documents whatever their kind or session.
     """
     if not terms:
         raise ValueError("a search needs a term that must stand in the text")
@@ -53,6 +54,8 @@ def search(docs: DataFrame, terms: list[str], without: list[str], sessions: Data
         hit = hit & F.contains("f", F.lit(t))
     for t in without:
         hit = hit & ~F.contains("f", F.lit(t.lower()))
+    if kinds is not None:
+        hit = hit & F.col("kind").isin(*kinds)
     rows, n, mean = folded.where(hit), stats["n"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
     for i, t in enumerate(lower):
@@ -65,6 +68,18 @@ def search(docs: DataFrame, terms: list[str], without: list[str], sessions: Data
     return ranked.select("session", "event", F.col("rn").cast("bigint").alias("rank"), F.round("bm25", 6).alias("bm25"), F.round(F.col("bm25") * (1 + 1 / (1 + age / 30)), 6).alias("score"))
 
 
+def sessions_page(hits: DataFrame, sessions: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """(place, session, score, hits) of a page of sessions: by the score of a session's best hit, then latest, then by name.
+
+    ``hits`` are those of ``search``; the order is total, so pages never overlap. A page has at most 200 sessions.
+    """
+    limit = min(limit, 200)
+    best = hits.groupBy("session").agg(F.max("score").alias("score"), F.count("*").alias("hits")).join(sessions.select("session", "updated_at"), "session")
+    order = [F.desc("score"), F.desc("updated_at"), "session"]
+    page = best.orderBy(*order).limit(offset + limit)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where(F.col("place") > offset).select("place", "session", "score", "hits")
+
+
 def scan(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """The newest ``limit`` documents that hold all of the short ``terms``, A-Z in either case; scores are zero."""
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

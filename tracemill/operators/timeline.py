@@ -25,10 +25,17 @@ def status(events: DataFrame, now: int, stale_ms: int = STALE_MS, settle_ms: int
     return out.select("session", F.when(over, F.lit("idle")).otherwise(F.col("s")).alias("status"), F.when(over, F.col("last") + window).otherwise(F.col("since")).alias("since"), F.when(over, F.lit("stale")).otherwise(F.col("reason")).alias("reason"), "last")
 
 
-def page(events: DataFrame, limit: int, before: int | None = None) -> DataFrame:
-    """The newest ``limit`` events of each session with ``seq`` under ``before``."""
-    rows = events if before is None else events.where(F.col("seq") < before)
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))).where(F.col("rn") <= limit).drop("rn")
+def page(events: DataFrame, limit: int, before: DataFrame | None = None) -> DataFrame:
+    """The newest ``limit`` events of each session under its cursor, with ``next_before``, the cursor of the next older page, null where none is left.
+
+    ``before`` are cursors (session, before); a session without one has no page. Without ``before`` pages are the newest.
+    """
+    rows = events if before is None else events.join(before, "session").where(F.col("seq") < F.col("before")).drop("before")
+    placed = rows.withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))).where(F.col("rn") <= limit + 1)
+    whole = Window.partitionBy("session")
+    older = F.max("rn").over(whole) > limit
+    next_ = F.when(older, F.min(F.when(F.col("rn") <= limit, F.col("seq"))).over(whole))
+    return placed.withColumn("next_before", next_).where(F.col("rn") <= limit).drop("rn")
 
 
 def oldest(events: DataFrame, limit: int) -> DataFrame:

@@ -77,6 +77,30 @@ def folded(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return summed(keyed.join(top, "key", "left").withColumn("key", F.when(F.col("top"), F.col("key")).otherwise(F.lit("(other)"))), "key")
 
 
+SORTS = ("auto", "cost", "tokens", "steps", "sessions", "prompts", "key")
+BY_TIME = ("day", "hour", "weekday", "weekday_hour")
+
+
+def ordered(rows: DataFrame, by: str, sort: str = "auto", limit: int = 20, tz: str = "UTC") -> DataFrame:
+    """The first ``limit`` keys of a report with their place from 1, and last a row (other) of all that is left, labelled with their number.
+
+    ``auto`` is by key for dimensions of time and by cost for others. Costs that are not known count as nothing, equal
+    costs go by tokens, and what is still equal by key. Sums over the rows are the totals; a session counts once a row.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"unknown sort {sort!r}; one of {', '.join(SORTS)}")
+    sort = ("key" if by in BY_TIME else "cost") if sort == "auto" else sort
+    keyed = rows.withColumn("root", F.lit(None).cast("string")).withColumn("key", dimension(by, tz))
+    tokens = sum((F.col(c) for c in SUMS[1:4]), F.col("input"))
+    order = {"cost": [F.desc(F.coalesce("cost", F.lit(0.0))), tokens.desc()], "tokens": [tokens.desc()], "key": []}.get(sort, [F.desc(sort)]) if sort != "key" else []
+    # Only the limited rows are numbered in one task.
+    first = summed(keyed, "key").orderBy(*order, "key").limit(limit)
+    top = first.select("key", F.row_number().over(Window.orderBy(*order, "key")).cast("bigint").alias("place"))
+    marked = keyed.join(top, "key", "left").withColumn("own", F.col("key")).withColumn("key", F.when(F.col("place").isNotNull(), F.col("key")).otherwise(F.lit("(other)"))).withColumn("place", F.coalesce("place", F.lit(limit + 1)))
+    label = F.when(F.col("place") <= limit, F.first("key")).otherwise(F.concat(F.count_distinct("own").cast("string"), F.lit(" more"))).alias("label")
+    return summed(marked, "place", "key").join(marked.groupBy("place").agg(label), "place")
+
+
 def session_totals(steps: DataFrame, catalog: DataFrame) -> DataFrame:
     """Sums of each session, the context of its last step and the limit of that step's model."""
     context = F.col("input") + F.col("cache_read") + F.col("cache_write")

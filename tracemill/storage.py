@@ -40,15 +40,30 @@ def dropped(written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
-def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``build`` makes from ``source``, written the first time an application asks for it and again when the source's size or time has changed."""
+def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], version: str = "") -> DataFrame:
+    """The table ``build`` makes from ``source``, written the first time an application asks for it.
+
+    It is written again when the source's size or time or ``version`` (what else it is made from) has changed, and when its
+    files are gone; what it was before is deleted.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size, changed = fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, name, source, size, changed)
-    if key not in _KEPT:
-        _KEPT[key] = settled(build())
-    return _KEPT[key]
+    state = (fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime(), version)
+    key = (spark.sparkContext.applicationId, name, source)
+    held = _KEPT.get(key)
+    if held is not None and held[0] == state and exists(held[1]):
+        return held[1]
+    _KEPT[key] = (state, settled(build()))
+    if held is not None and exists(held[1]):
+        dropped(held[1])
+    return _KEPT[key][1]
+
+
+def exists(written: DataFrame) -> bool:
+    """Whether the files of a written table are all there."""
+    spark = written.sparkSession
+    path = lambda f: spark._jvm.org.apache.hadoop.fs.Path(f)
+    return all(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f)) for f in written.inputFiles()[:1])
