@@ -64,7 +64,9 @@ class Machine:
 
 def supported(lists: list[np.ndarray]) -> np.ndarray:
     """The terms that enough documents have."""
-    docs = np.bincount(np.concatenate(lists), minlength=BUCKETS)
+    docs = np.zeros(BUCKETS, np.int64)
+    for k in range(0, len(lists), 1000):
+        docs += np.bincount(np.concatenate(lists[k : k + 1000]), minlength=BUCKETS)
     return np.flatnonzero(docs >= min(LEAST_DOCS, max(1, len(lists) // 50)))
 
 
@@ -75,7 +77,7 @@ def descend(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate:
     with them, so that vectors explain what weights leave over.
     """
     n, active = len(lists), supported(lists)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[active] = np.arange(len(active))
     kept = [p[p >= 0] for p in (place[x] for x in lists)]
     rng = np.random.default_rng(seed)
@@ -92,6 +94,7 @@ def descend(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate:
             at, first = np.unique(flat[order], return_index=True)
             # Terms in order, so that a term's rows stand together.
             batches.append((batch, flat[order], row[order], at, first.astype(np.int32)))
+    del kept
     for epoch in range(2 * epochs):
         for b in rng.permutation(len(batches)):
             batch, flat, row, at, first = batches[b]
@@ -159,7 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     # The sample has at most ``sample`` rows of two numbers, so it can be broadcast.
     rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", terms(F.col("text")).alias("terms"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     lists = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("terms")] if rows.num_rows else []
-    return fit(lists, rows.column("toxic").to_numpy().astype(float))
+    toxic = rows.column("toxic").to_numpy().astype(float)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(lists, toxic)
 
 
 def scored(docs: DataFrame, machine: Machine, id_kind: str = "bigint") -> DataFrame:
