@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import FOLD_FROM, FOLD_TO, preview, usd, usd_sum
-from .operators import catalogs, cleanup, document, family, ledger, pricing, search, timeline, usage
+from .operators import catalogs, cleanup, document, family, ledger, matching, pricing, search, timeline, usage
 from .sinks import archive, files
 from .sources import bridge, databases, decoders, follow, jsonl, samples, zstd
 from .storage import new_folder, once, settled
@@ -264,6 +264,17 @@ def _archived(spark: SparkSession, d: str) -> DataFrame:
     return archive.read(spark, folder).where("line > 0").select(v.alias("v")).select("v.id", "v.truncated", F.octet_length("v.text").cast("bigint").alias("n_bytes"), F.sha2("v.text", 256).alias("sha256"))
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as names of models: each brand is a family with two versions, written in the ways that harnesses write them."""
+    part = bridge.table(spark, d, "part").select("p_partkey", F.translate(F.regexp_replace("p_brand", "^.*#", ""), "0123456789", "abcdefghij").alias("b"))
+    ways = "element_at(array(concat('shop/Fam', b, '-2[1m]'), concat('fam', b, '-4-20250101'), concat('cli-fam', b, '-4'), concat('fam', b, '-2-high'), concat('x fam', b, ' 4 preview'), concat('fam', b, '-7'), concat('fam', b, '-2-max'), concat('fam', b), concat('Team ', b, ' Two'), concat('zz-fam', b, '-9')), cast(p_partkey % 10 + 1 as int))"
+    models = part.select(F.expr(ways).alias("model"))
+    rates = F.expr(f"cast(named_struct('input', 1D, 'output', 2D, 'cache_read', 1D, 'cache_write', null, 'tiers', array()) as {catalogs.RATES})")
+    versions = part.select("b").distinct().select("b", F.explode(F.array(F.lit("2"), F.lit("4"))).alias("v"))
+    entries = versions.select(F.expr("concat('fam', b, '-', v)").alias("id"), F.lit("fam").alias("provider"), F.expr("if(v = '2', concat('Team ', upper(b), ' Two 1017'), null)").alias("name"), F.lit(False).alias("consensus"), rates.alias("rates"))
+    return matching.resolved(models, entries)
+
+
 QUERIES: dict = {
     "usage_by_harness": _by("harness"), "usage_by_model": _by("model"), "usage_by_cwd": _by("cwd"), "usage_by_session": _by("session"), "usage_by_project": _project,
     "usage_by_dir": _by("dir", under="/w/repo1"), "usage_by_day": _by("day"), "usage_by_hour": _by("hour", tz="+08:00"), "usage_by_weekday": _by("weekday", tz="America/New_York"), "usage_by_weekday_hour": _by("weekday_hour"),
@@ -308,6 +319,7 @@ QUERIES: dict = {
     "ledger_two_sources": _two_sources,
     "cleanup_plan": _cleanup,
     "archive_compact": _archived,
+    "model_resolution": _resolved,
     "catalog_sync": _synced,
     "catalog_listed": _listed,
     "trajectory_document": _document,
@@ -568,3 +580,6 @@ def _first(sort: str, key: str, order: str) -> str:
 _TOKENS = "sum(input + output + cache_read + cache_write) DESC, "
 _ORDERS = {"auto": "coalesce(sum(pico), 0) DESC, " + _TOKENS, "cost": "coalesce(sum(pico), 0) DESC, " + _TOKENS, "tokens": _TOKENS, "steps": "sum(is_step) DESC, ", "sessions": "count(DISTINCT session) DESC, ", "prompts": "sum(is_prompt) DESC, ", "key": ""}
 SQL["usage_ordered"] = f"WITH {_FACTS} " + " UNION ALL ".join([*[_first(s, "session", o) for s, o in _ORDERS.items()], _first("day", _wall("%Y-%m-%d"), "")])
+SQL["model_resolution"] = """WITH p AS (SELECT DISTINCT p_partkey % 10 AS w, translate(regexp_replace(p_brand, '^.*#', ''), '0123456789', 'abcdefghij') AS b FROM part)
+SELECT CASE w WHEN 0 THEN 'shop/Fam' || b || '-2[1m]' WHEN 1 THEN 'fam' || b || '-4-20250101' WHEN 2 THEN 'cli-fam' || b || '-4' WHEN 3 THEN 'fam' || b || '-2-high' WHEN 4 THEN 'x fam' || b || ' 4 preview' WHEN 5 THEN 'fam' || b || '-7' WHEN 6 THEN 'fam' || b || '-2-max' WHEN 7 THEN 'fam' || b WHEN 8 THEN 'Team ' || b || ' Two' ELSE 'zz-fam' || b || '-9' END AS model,
+CASE WHEN w IN (6, 7) THEN 'none' WHEN w IN (0, 1) THEN 'exact' ELSE 'approx' END AS match_kind, CASE WHEN w IN (6, 7) THEN NULL ELSE 'fam' || b || CASE WHEN w IN (0, 3, 8) THEN '-2' ELSE '-4' END END AS id FROM p"""
