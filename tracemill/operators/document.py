@@ -46,7 +46,7 @@ def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(inner.alias("items"), F.max("end").alias("last"))
 
 
-def turns(deliveries: DataFrame, found: DataFrame, steps: DataFrame) -> DataFrame:
+def turns(deliveries: DataFrame, found: DataFrame) -> DataFrame:
     """(session, turn, event, prompt, started_at, turn_end) of each turn that has a prompt, a step or an item of its own.
 
     A turn comes to be with its first prompt or first usage, whichever is first, else with its end. It begins at the least
@@ -86,7 +86,7 @@ def document(deliveries: DataFrame, steps: DataFrame) -> DataFrame:
     found = items(deliveries)
     steps = steps.withColumnRenamed("event", "id") if "event" in steps.columns else steps
     placed = _gathered(found.where("step is not null"), "session", "step").withColumnRenamed("step", "id")
-    heads = turns(deliveries, found, steps)
+    heads = turns(deliveries, found)
     done = steps.join(placed, ["session", "id"], "left").withColumn("end", F.greatest("ts_ms", F.coalesce("last", F.lit(0)))).join(heads.select("session", "turn", F.col("started_at").alias("begun")), ["session", "turn"])
     lag = F.lag("end").over(Window.partitionBy("session", "turn").orderBy("seq"))
     before = F.coalesce(lag, "begun")

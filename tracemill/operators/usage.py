@@ -92,7 +92,7 @@ def ordered(rows: DataFrame, by: str, sort: str = "auto", limit: int = 20, tz: s
     sort = ("key" if by in BY_TIME else "cost") if sort == "auto" else sort
     keyed = rows.withColumn("root", F.lit(None).cast("string")).withColumn("key", dimension(by, tz))
     tokens = sum((F.col(c) for c in SUMS[1:4]), F.col("input"))
-    order = {"cost": [F.desc(F.coalesce("cost", F.lit(0.0))), tokens.desc()], "tokens": [tokens.desc()], "key": []}.get(sort, [F.desc(sort)]) if sort != "key" else []
+    order = {"cost": [F.desc(F.coalesce("cost", F.lit(0.0))), tokens.desc()], "tokens": [tokens.desc()], "key": []}.get(sort, [F.desc(sort)])
     # Only the limited rows are numbered in one task.
     first = summed(keyed, "key").orderBy(*order, "key").limit(limit)
     top = first.select("key", F.row_number().over(Window.orderBy(*order, "key")).cast("bigint").alias("place"))
