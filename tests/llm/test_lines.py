@@ -5,7 +5,9 @@ import re
 from itertools import combinations
 
 import duckdb
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import parts
 from tracemill.llm import lines
@@ -135,8 +137,23 @@ def test_recall_of_similar_lines():
     assert len(near) >= 20 and hit >= 0.9 * len(near), (hit, len(near))
 
 
+def links_in_buckets(norms):
+    """Pairs of lines that share a bucket and are similar by letters, by brute force."""
+    buckets = {}
+    for k, norm in enumerate(norms):
+        for key in plain_keys(norm):
+            buckets.setdefault(key, []).append(k)
+    met = sorted({pair for ks in buckets.values() for pair in combinations(ks, 2)})
+    with duckdb.connect() as con:
+        met = pa.table({"a": [a for a, _ in met], "b": [b for _, b in met]})
+        own = pa.table({"k": range(len(norms)), "s": norms})
+        con.register("met", met)
+        con.register("own", own)
+        return con.execute("SELECT a, b FROM met JOIN own x ON x.k = a JOIN own y ON y.k = b WHERE levenshtein(x.s, y.s) <= floor(0.2 * greatest(length(x.s), length(y.s)) + 1e-9) ORDER BY a, b").fetchall()
+
+
 def test_pairs_of_form_letters_grow_with_their_number(spark, monkeypatch):
-    """Lines of ten fixed and ten random words: they share buckets and are not similar."""
+    """Lines of ten fixed and ten random words: they share buckets and hardly any are similar. Pairs that are written down grow with the lines; what is compared in full leaves only links."""
     rng, asked = random.Random(6), []
     inner = lines.verified
 
@@ -150,6 +167,28 @@ def test_pairs_of_form_letters_grow_with_their_number(spark, monkeypatch):
     for n in (500, 1000, 2000):
         asked.clear()
         rows = [(k, " ".join(w for pair in zip(fixed, (f"r{rng.randrange(10**6)}" for _ in range(10))) for w in pair)) for k in range(n)]
-        assert lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).where("size(gone_lines) > 0").count() == 0
+        gone = {r["doc_id"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).where("size(gone_lines) > 0").collect()}
+        links = links_in_buckets([x for _, x in rows])
+        # With so few links, a line goes exactly if it is similar to one before it.
+        assert gone == {b for _, b in links} and len(links) < 20
         seen.append(sum(asked))
     assert seen[2] <= 2.2 * seen[1] and seen[2] <= 4.84 * seen[0]
+
+
+def test_no_link_of_a_mixed_bucket_is_lost(spark, monkeypatch):
+    """Lines of one bucket in many groups: couples that differ in some letters, each far from all others."""
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    couples = []
+    for k in range(30):
+        first = "".join(rng.choice(letters) for _ in range(60))
+        second = list(first)
+        for place in range(0, 40, 5):
+            second[place] = "0"
+        couples += [first, "".join(second)]
+    made = spark.createDataFrame([(i, x, k) for i, x in enumerate(couples) for k in ([7, 9] if i % 3 else [7])], "doc_id bigint, norm string, key bigint")
+    hashed = made.selectExpr("xxhash64(norm) as h", "norm", "array(key) as keys").groupBy("h", "norm").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    roots, n = lines.linked(hashed)
+    want = {x: k // 2 for k, x in enumerate(couples)}
+    got = {r["norm"]: r["root"] for r in hashed.join(roots, F.col("h") == F.col("node")).collect()}
+    assert n == 60 and len({(want[x], r) for x, r in got.items()}) == 30 == len(set(got.values()))

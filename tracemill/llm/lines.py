@@ -12,9 +12,9 @@ words in place of words, as long texts of a small vocabulary would agree on word
 
 A link needs edit similarity of ``SIMILARITY`` of the whole normalised lines: edits of letters, or of words where one has
 more than ``LONG`` words (and the two together fewer than 50,000 different ones). A bucket is not expanded into its pairs:
-its members are compared with its first, then with the first outside the bucket's largest group. What is then still in
-different groups is split by ``BANDS`` minwise hashes of ``ROWS`` words each, and each member of a part is compared with
-the part's first, so pairs grow with members. Of every connected group the first occurrence stays.
+its members are compared with its first, then with the first outside the bucket's largest group. Only what is then still
+in different groups is compared in full, block by block, so no link within a bucket is lost. Of every connected group the
+first occurrence stays.
 
 Of lines of four words or more with one word replaced or one letter mistyped, nine in ten at least are found;
 tests/llm/test_lines.py measures it. More changes in short lines are found less often (README).
@@ -32,8 +32,8 @@ from .common import components, dropped, fresh, packed, saved, small, table
 BLOCKS, CAP, ONE, TWO, SHORT, REST, SIMILARITY = 8, 5, 24, 16, 12, 6, 0.8
 #: Of a line of more than LONG words, runs of RUN words are its features, and a block the SimHash of CAP_LONG of them.
 LONG, RUN, CAP_LONG = 128, 3, 4
-#: Bands of least word hashes, and hashes in each, by which what is left of a mixed bucket is split.
-BANDS, ROWS = 6, 3
+#: Members of a mixed bucket in a block, and pairs a task, where what is left of it is compared in full.
+BLOCK, PAIRS = 256, 20_000
 #: What parts words: all but letters, digits and line ends.
 APART = "[^0-9a-z\\p{L}\\p{N}\n]"
 
@@ -101,11 +101,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "t", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole normalised lines have the edit similarity asked for."""
-    wanted, rows = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), rows=True)
-    texts = saved(lines.select("h", "norm").join(small(wanted, rows), "h").groupBy("h").agg(F.first("norm").alias("norm")))
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("nb")), "b")
+def similar() -> str:
+    """SQL for whether the whole normalised lines ``na`` and ``nb`` have the edit similarity asked for."""
     of = lambda n: f"cast(floor({1 - SIMILARITY:.6f} * {n} + 1e-9) as int)"
     # Word by word is never less than the edit distance, and settles most pairs at a fraction of its cost; the narrow band most others.
     by_word = "size(wa_) = size(wb_) and aggregate(zip_with(wa_, wb_, (x_, y_) -> if(x_ = y_, 0, greatest(length(x_), length(y_)))), 0, (s_, d_) -> s_ + d_) <= most_"
@@ -117,15 +114,46 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     by_letter = let("most_", of("greatest(length(na), length(nb))"), f"abs(length(na) - length(nb)) <= most_ and (({by_word}) or ({by_run}) or {near})")
     long = let("ds_", "array_distinct(concat(wa_, wb_))", f"if(size(ds_) < 50000, {runs.format(of('greatest(size(wa_), size(wb_))'))}, levenshtein(na, nb, {of('greatest(length(na), length(nb))')}) >= 0)")
     whole = f"if(greatest(size(wa_), size(wb_)) > {LONG}, {long}, {by_letter})"
-    return both.where(F.expr(let("wa_", "split(na, ' ')", let("wb_", "split(nb, ' ')", whole)))).select("a", "b")
+    return let("wa_", "split(na, ' ')", let("wb_", "split(nb, ' ')", whole))
 
 
-def bands(lines: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """(h, band) of the classes in ``wanted`` (h): hashes of the least hashes of a line's words under several seeds, ``BANDS`` of ``ROWS`` each."""
-    texts = lines.select("h", "norm").join(small(wanted, rows), "h").groupBy("h").agg(F.first("norm").alias("norm"))
-    least = lambda seed: f"array_min(transform(ws, w_ -> xxhash64(w_, {seed})))"
-    each = [f"xxhash64({band}, {', '.join(least(band * ROWS + k) for k in range(ROWS))})" for band in range(BANDS)]
-    return texts.select("h", F.split("norm", " ").alias("ws")).select("h", F.explode(F.expr(f"array({', '.join(each)})")).alias("band"))
+def texts_of(wanted: DataFrame, rows: int, lines: DataFrame) -> DataFrame:
+    """(h, norm) of the classes in the written and counted table ``wanted`` (h)."""
+    return saved(lines.select("h", "norm").join(small(wanted, rows), "h").groupBy("h").agg(F.first("norm").alias("norm")))
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole normalised lines have the edit similarity asked for."""
+    wanted, rows = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), rows=True)
+    texts = texts_of(wanted, rows, lines)
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("nb")), "b")
+    return both.where(F.expr(similar())).select("a", "b")
+
+
+def across(loose: DataFrame, lines: DataFrame) -> DataFrame:
+    """All links (a, b) between members of one bucket of ``loose`` (bucket, b, root) that are in different groups.
+
+    Every such pair is compared, once, in the least bucket that both are in. Members of a bucket are dealt to blocks of
+    about ``BLOCK`` by hash and two blocks meet under a key of their own, so no task holds more than two blocks of a
+    bucket at once and a large bucket is spread over tasks; pairs are compared inside the join and only links leave it.
+    """
+    asked, many = saved(loose.select(F.col("b").alias("h")).distinct(), rows=True)
+    texts = texts_of(asked, many, lines)
+    sizes = loose.groupBy("bucket").agg(F.count("*").alias("m"))
+    told, rows = saved(sizes.select("bucket", F.expr(f"cast(1 + m div {BLOCK} as int)").alias("of"), "m"), rows=True)
+    pairs = told.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()[0] or 0
+    own = loose.groupBy(F.col("b").alias("h")).agg(F.collect_list("bucket").alias("ks"))
+    placed = loose.join(small(told.drop("m"), rows), "bucket").withColumn("c", F.expr("pmod(xxhash64(b), of)"))
+    members = saved(placed.join(own.join(texts, "h"), F.col("b") == F.col("h")).select("bucket", "h", "root", "ks", "norm", "c", "of"))
+    # The larger of two blocks asks, the other one, or itself, is asked.
+    parts = int(min(5000, 1 + pairs // PAIRS))
+    on = ["bucket", "i", "j"]
+    left = members.select("bucket", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("ks").alias("ka"), F.col("norm").alias("na"), F.explode(F.expr("sequence(0L, c)")).alias("i"), F.col("c").alias("j"))
+    right = members.select("bucket", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("ks").alias("kb"), F.col("norm").alias("nb"), F.col("c").alias("i"), F.explode(F.expr("sequence(c, of - 1L)")).alias("j"))
+    left, right = left.repartition(parts, *on), right.repartition(parts, *on)
+    met = F.expr("ra <> rb and (i < j or a < b) and bucket = array_min(array_intersect(ka, kb))")
+    found = left.join(right.hint("merge"), on).where(met).where(F.expr(similar()))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def linked(lines: DataFrame) -> tuple[DataFrame, int]:
@@ -146,29 +174,24 @@ def linked(lines: DataFrame) -> tuple[DataFrame, int]:
         most = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1 and all > 2").select("bucket", "top")
         return saved(packed(grouped.join(most, "bucket"), n_active), rows=True)
 
-    # Where every member is linked to the first, a bucket is done. Others are compared once more with a member outside the largest group.
-    loose, left = mixed()
-    for k in range(2 if left else 0):
+    # Where every member is linked to the first, a bucket is done. Others are compared once more with a member outside the
+    # largest group, which settles most; what is then still in different groups is compared in full.
+    for k in range(2):
+        loose, left = mixed()
+        if not left:
+            break
         if k == 0:
             leader = loose.where("root <> top").groupBy("bucket").agg(F.min_by(F.struct("b", "root"), "b").alias("x")).select("bucket", F.col("x.b").alias("x"), F.col("x.root").alias("rx"))
-            met = loose.join(leader, "bucket")
+            met = loose.join(leader, "bucket").where("rx <> root").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+            more, found = saved(verified(met, lines), rows=True)
         else:
-            # What is left in different groups meets again only where more of the words agree, and there each with one other.
-            asked, many = saved(loose.select(F.col("b").alias("h")).distinct(), rows=True)
-            banded = saved(loose.join(bands(lines, asked, many), F.col("h") == F.col("b")).select(F.xxhash64("bucket", "band").alias("bucket"), "b", "root"))
-            leader = banded.groupBy("bucket").agg(F.min_by(F.struct("b", "root"), "b").alias("x"), F.max("b").alias("z")).where("x.b <> z").select("bucket", F.col("x.b").alias("x"), F.col("x.root").alias("rx"))
-            met = banded.join(leader, "bucket")
-        more, found = saved(verified(met.where("rx <> root").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), lines), rows=True)
+            more, found = saved(across(loose, lines), rows=True)
         dropped(loose)
         if found:
             links = saved(links.unionByName(more))
             dropped(more)
             dropped(roots)
             roots, n = components(links)
-        if k == 0:
-            loose, left = mixed()
-            if not left:
-                break
     dropped(active)
     return roots, n
 
