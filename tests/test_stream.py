@@ -61,3 +61,52 @@ def test_partial_deliveries_and_a_session_that_wakes(spark, tmp_path):
     told = live.kept(spark, f"{base}/out").where("what = 'status'").orderBy("batch", "version").select("status", "since", "reason", "last").collect()
     assert [tuple(r) for r in told] == [("work", 5, "streaming", 5), ("idle", 5 + timeline.STALE_MS, "stale", 5), ("work", 5, "user_message", future), ("idle", future + 1, "turn_end", future + 1)]
     assert live.kept(spark, f"{base}/out").where("what = 'prompt'").agg(F.count("*")).first()[0] == 1
+
+
+def test_reads_and_writes_of_state_do_not_grow_with_deliveries():
+    """Every read and write of state is a message; a page's are few however many deliveries and sessions it has."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.map, self.asked, self.timers = None, {}, 0, set()
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.asked, self.value = self.asked + 1, value
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.map.get(key)
+
+        def updateValue(self, key, value):
+            self.asked += 1
+            self.map[key] = value
+
+        def getValueState(self, *a):
+            return self
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Times:
+        def getCurrentProcessingTimeInMs(self):
+            return 1
+
+    names = [*[c.split()[0] for c in SCHEMA.split(", ")], "partial"]
+    held, told = Held(), live.Sessions()
+    told.init(held)
+    for k in range(3):
+        held.asked = 0
+        rows = [dict(zip(names, (f"s{n % 20}", f"e{n}", n, 5, ("usage", "user_message")[n % 2], None, 1, 1, 1, 1, 1, False, False))) for n in range(2000 * k, 2000 * k + 2000)]
+        out = list(told.handleInputRows((0,), iter(rows), Times()))
+        assert sum(r["what"] == "step" for r in out) == 1000 and held.asked <= 60
+    steps = [r for r in out if r["what"] == "step" and r["session"] == "s0"]
+    assert [r["step_idx"] for r in steps] == list(range(201, 301)) and len(held.timers) == 1
