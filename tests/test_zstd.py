@@ -58,3 +58,15 @@ def test_no_frame():
     data = zstandard.ZstdCompressor().compress(b"x") + b"not a frame"
     with pytest.raises(ValueError):
         list(zstd.frames(io.BytesIO(data), len(data), 0, len(data)))
+
+
+def test_small_files_share_tasks():
+    """A file or piece is no task of its own where there are very many; every byte is in one task."""
+    sizes = [(f"f{n:05}", 100 + n % 900) for n in range(20_000)] + [("large", 3 << 20)]
+    found = zstd.dealt(sizes, 1 << 9)
+    assert len(found) <= 1.5 * zstd.TASKS
+    ranges = sorted(r for p in found for r in p.value)
+    for path, size in sizes[:500] + sizes[-1:]:
+        own = [(low, high) for p, low, high in ranges if p == path]
+        assert own[0][0] == 0 and own[-1][1] == size and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert sum(r[2] - r[1] for r in ranges) == sum(n for _, n in sizes)

@@ -22,17 +22,35 @@ FORMAT = "tracemill_zstd"
 SCHEMA = "source string, frame bigint, n bigint, line string"
 #: Compressed bytes of a file that one task reads, and rows it hands over at once.
 PIECE, ROWS = 32 << 20, 2000
+#: Tasks from which on pieces are put together, up to PIECE bytes a task.
+TASKS = 1000
 # Fixed values of the format: what a frame begins with, and what one begins with that holds no data.
 MAGIC, SKIPPABLE = 0xFD2FB528, 0x184D2A50
 
 
 @dataclass
-class Range(InputPartition):
-    """The frames of the file at ``value`` that begin in [low, high)."""
-
-    value: str
-    low: int
-    high: int
+class Ranges(InputPartition):
+    """What one task reads: the frames of each (path, low, high) that begin in [low, high)."""
+
+    value: list[tuple[str, int, int]]
+
+
+def dealt(sizes: list[tuple[str, int]], piece: int) -> list[Ranges]:
+    """Files cut to ranges of ``piece`` bytes, put together where more than ``TASKS`` tasks would come of it; ranges of one file that meet become one."""
+    most, out, held = max(piece, min(PIECE, -(-sum(n for _, n in sizes) // TASKS))), [], 0
+    for path, size in sorted(sizes):
+        for low in range(0, size, piece):
+            high = min(size, low + piece)
+            if not out or held + high - low > most:
+                out.append(Ranges([]))
+                held = 0
+            own = out[-1].value
+            if own and own[-1][0] == path:
+                own[-1] = (path, own[-1][1], high)
+            else:
+                own.append((path, low, high))
+            held += high - low
+    return out
 
 
 def frame_end(f, at: int, size: int) -> tuple[int, bool] | None:
@@ -80,25 +98,27 @@ class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
         self.uri, self.glob, self.piece = options["path"], options.get("glob", "*.zst*"), int(options.get("piece", PIECE))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, root = pafs.FileSystem.from_uri(self.uri)
         found = store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        return [Range(i.path, low, low + self.piece) for i in found if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, self.glob) for low in range(0, i.size, self.piece)]
+        return dealt([(i.path, i.size) for i in found if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, self.glob)], self.piece)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no files
             return
         store, _ = pafs.FileSystem.from_uri(self.uri)
         rows: list[tuple] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([partition.value] * len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string())))], names=["source", "frame", "n", "line"])
-        with store.open_input_file(partition.value) as f:
-            for at, frame in frames(f, f.size(), partition.low, partition.high):
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(frame).decode("utf-8", "replace")
-                for n, line in enumerate(body.removesuffix("\n").split("\n")):
-                    rows.append((at, n, line.removesuffix("\r")))
-                    if len(rows) >= ROWS:
-                        yield flush()
-                        rows = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["source", "frame", "n", "line"])
+        press = zstandard.ZstdDecompressor()
+        for path, low, high in partition.value:
+            with store.open_input_file(path) as f:
+                for at, frame in frames(f, f.size(), low, high):
+                    body = press.decompressobj().decompress(frame).decode("utf-8", "replace")
+                    for n, line in enumerate(body.removesuffix("\n").split("\n")):
+                        rows.append((path, at, n, line.removesuffix("\r")))
+                        if len(rows) >= ROWS:
+                            yield flush()
+                            rows = []
         if rows:
             yield flush()
 
