@@ -99,3 +99,27 @@ def test_devin_shows_the_chosen_branch(spark, tmp_path):
 @pytest.mark.parametrize("harness", sorted(databases.DECODERS))
 def test_no_databases(spark, tmp_path, harness):
     assert told(spark, tmp_path, harness)[1] == []
+
+
+def test_databases_are_built_one_at_a_time(spark, tmp_path):
+    """A task that builds many databases hands each over before the next, and the writer takes a few at once by their bytes."""
+    import pyarrow as pa
+
+    from tracemill.sinks import files
+    from tracemill.sources import samples
+
+    rows = [{"t": "sessions", "v": json.dumps(["s", "/w"])}]
+    batch = pa.record_batch([pa.array(["a", "b", "c"]), pa.array([rows, [], rows * 0])], names=["path", "rows"])
+    out = list(samples._built(samples.DDL["copilot"])(iter([batch])))
+    assert [b.num_rows for b in out] == [1, 1, 1] and all(b.column("content")[0].as_py()[:6] == b"SQLite" for b in out)
+    seen, before = tmp_path / "seen", spark.conf.get(files.BATCH)
+    seen.mkdir()
+
+    def large(batches):
+        for b in batches:
+            (seen / f"{b.num_rows}-{b.column(0)[0].as_py()}").touch()
+            yield pa.record_batch([pa.array([str(x) for x in b.column(0).to_pylist()]), pa.array([b"x" * (1 << 20)] * b.num_rows)], names=["path", "content"])
+
+    files.write(spark.range(40).coalesce(1).selectExpr("cast(id as string) as id", f"repeat('y', {1 << 20}) as pad").mapInArrow(large, "path string, content binary"), f"file://{tmp_path}/out")
+    assert max(int(p.name.split("-")[0]) for p in seen.iterdir()) <= 8 and spark.conf.get(files.BATCH) == before
+    assert sum(p.stat().st_size for p in (tmp_path / "out").iterdir()) == 40 << 20

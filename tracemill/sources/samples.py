@@ -140,21 +140,21 @@ ROWS = {
 
 
 def _built(ddl: str):
-    """Databases of groups of insertions, as the bytes of their files."""
+    """Databases of groups of insertions, as the bytes of their files: one at a time is built and handed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, rows in zip(*batch.columns):
                 con = sqlite3.connect(":memory:")
                 con.executescript(ddl)
-                for r in rows:
-                    values = json.loads(r["v"])
-                    con.execute(f"INSERT INTO {r['t']} VALUES ({', '.join('?' * len(values))})", values)
+                for low in range(0, len(rows.values or ()), 1000):
+                    for r in rows.values.slice(low, 1000).to_pylist():
+                        values = json.loads(r["v"])
+                        con.execute(f"INSERT INTO {r['t']} VALUES ({', '.join('?' * len(values))})", values)
                 con.commit()
-                out.append((path, con.serialize()))
+                made = con.serialize()
                 con.close()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 2, (pa.string(), pa.binary()))], names=["path", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([made], pa.binary())], names=["path", "content"])
 
     return run
 
