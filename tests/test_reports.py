@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill import storage
+from tracemill import catalog, storage
 from tracemill.operators import search, timeline, usage
 
 FACTS = "session string, harness string, cwd string, ts_ms bigint, model_key string, is_step int, is_prompt int, " + ", ".join(f"{c} bigint" for c in usage.SUMS) + ", pico bigint, unpriced int"
@@ -52,3 +52,9 @@ def test_kept_tables_follow_their_source_and_version(spark, tmp_path):
     assert (value("2"), len(built)) == (10, 3)
     storage.dropped(storage.once(spark, "test", source, make, "2"))
     assert (value("2"), len(built)) == (10, 4)
+
+
+def test_session_totals_shuffle_by_session_alone(spark):
+    """Sessions end with few models, so a shuffle by the last model puts them in a few tasks."""
+    plan = catalog.QUERIES["session_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session" in plan and "hashpartitioning(last_model" not in plan

@@ -105,7 +105,8 @@ def session_totals(steps: DataFrame, catalog: DataFrame) -> DataFrame:
     """Sums of each session, the context of its last step and the limit of that step's model."""
     context = F.col("input") + F.col("cache_read") + F.col("cache_write")
     totals = steps.groupBy("session").agg(F.count("*").alias("steps"), F.sum("input").cast("bigint").alias("input"), F.sum("output").cast("bigint").alias("output"), usd_sum("pico").alias("cost"), F.max_by(context, "step_idx").alias("context_tokens"), F.max_by("model_key", "step_idx").alias("last_model"))
-    limits = catalog.select(F.col("id").alias("last_model"), "context_limit")
+    # Sessions end with few models: joined by a shuffle, nearly all of them would meet in a few tasks. A catalog's size does not follow the steps.
+    limits = F.broadcast(catalog.select(F.col("id").alias("last_model"), "context_limit"))
     return totals.join(limits, "last_model", "left").withColumn("context_pct", F.col("context_tokens") * 100.0 / F.col("context_limit"))
 
 
