@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -303,6 +304,24 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.scored(none(spark), machine).count() == 0
 
 
+def test_toxicity_is_learned_in_tasks(spark, monkeypatch):
+    """The driver fits nothing itself, and what the tasks learned is what ``fit`` makes of the same sample."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("documents", "labels"))
+    known = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    rows = docs.join(known, "doc_id").orderBy("doc_id").select(toxicity.terms(docs.text).alias("terms"), "toxic").collect()
+    want = toxicity.fit([toxicity.np.array(sorted(r["terms"]), dtype="int32") for r in rows], toxicity.np.array([float(r["toxic"]) for r in rows]))
+    inner, driver = toxicity.descend, os.getpid()
+
+    def elsewhere(lists, labels):
+        assert os.getpid() != driver
+        return inner(lists, labels)
+
+    monkeypatch.setattr(toxicity, "descend", elsewhere)
+    got = toxicity.train(docs, labels)
+    assert got.bias == want.bias and (got.weight == want.weight).all() and (got.factor == want.factor).all() and want.active.any()
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -2,7 +2,8 @@
 
 A text's features are its distinct lower-cased words, hashed to ``BUCKETS`` numbers. The machine adds a weight a term and,
 for each pair of terms, the product of two short learned vectors, so that two terms can mean together what neither means
-alone; the pair sum is taken in linear time. Terms are built by Spark functions; numpy scores Arrow batches inside tasks.
+alone; the pair sum is taken in linear time. Terms are built by Spark functions; numpy learns from a bounded sample and
+scores Arrow batches inside tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHRINK, SHRINK_FACTOR, FACTOR_RATE = 1e-3, 5e-4, 0.5
 #: Parts of the sample that are scored by machines fitted to the others, to place the threshold.
 FOLDS = 2
 THRESHOLD = 0.7
+#: What a task of ``train`` gives back.
+LEARNED = pa.schema([("part", pa.int32()), ("bias", pa.float64()), ("term", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32())), ("factor", pa.list_(pa.float32())), ("raw", pa.list_(pa.float64())), ("toxic", pa.list_(pa.float64()))])
 
 
 def terms(text: Column) -> Column:
@@ -134,38 +137,72 @@ def cut(raw: np.ndarray, labels: np.ndarray) -> float:
     return float(z[best] + (z[best + 1] if best + 1 < len(z) else z[best] - 1)) / 2
 
 
+def constant(label: float) -> Machine:
+    """A machine that gives every text the same score."""
+    return Machine(4.0 if label else -4.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
+
+
+def judged(lists: list[np.ndarray], labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and labels of fold ``k`` by a machine fitted to the other rows; none where those have one label only."""
+    fold = np.random.default_rng(11).permutation(len(lists)) % FOLDS
+    rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+    if not len(own) or not len(rest) or labels[rest].min() == labels[rest].max():
+        return np.zeros(0), np.zeros(0)
+    part = descend([lists[i] for i in rest], labels[rest])
+    return part.raw(np.concatenate([lists[i] for i in own]), np.repeat(np.arange(len(own)), [len(lists[i]) for i in own]), len(own)), labels[own]
+
+
+def settled(machine: Machine, raw: np.ndarray, labels: np.ndarray) -> Machine:
+    """The machine whose score reaches THRESHOLD where the judged rows part best."""
+    if 0 < labels.sum() < len(labels):
+        machine.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut(raw, labels)
+    return machine
+
+
 def fit(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     """A machine for a bounded sample whose score reaches THRESHOLD where held-out folds of the sample part best.
 
     No rows, or one label only: a machine that gives every text the same score.
     """
-    n = len(lists)
-    if not n or labels.min() == labels.max():
-        return Machine(-4.0 if not n or labels[0] == 0 else 4.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
-    machine, raw = descend(lists, labels), np.full(n, np.nan)
-    fold = np.random.default_rng(11).permutation(n) % FOLDS
-    for k in range(FOLDS):
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(own) and 0 < labels[rest].mean() < 1:
-            part = descend([lists[i] for i in rest], labels[rest])
-            raw[own] = part.raw(np.concatenate([lists[i] for i in own]), np.repeat(np.arange(len(own)), [len(lists[i]) for i in own]), len(own))
-    known = ~np.isnan(raw)
-    if 0 < labels[known].sum() < known.sum():
-        machine.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut(raw[known], labels[known])
-    return machine
+    if not len(lists) or labels.min() == labels.max():
+        return constant(labels[0] if len(lists) else 0)
+    machine = descend(lists, labels)
+    raw, own = map(np.concatenate, zip(*(judged(lists, labels, k) for k in range(FOLDS))))
+    return settled(machine, raw, own)
+
+
+def learned(rows: pa.Table) -> pa.Table:
+    """A part of what ``fit`` does, on the whole sample (doc_id, terms, toxic, part): a fold is judged, or, as part FOLDS, the machine fitted."""
+    k, rows = rows.column("part")[0].as_py(), rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    lists, labels = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("terms")], rows.column("toxic").to_numpy().astype(float)
+    machine, raw, own = constant(labels[0]), np.zeros(0), np.zeros(0)
+    if k < FOLDS:
+        raw, own = judged(lists, labels, k)
+    elif labels.min() != labels.max():
+        machine = descend(lists, labels)
+    term = np.flatnonzero(machine.active).astype(np.int32)
+    values = [k, machine.bias, term, machine.weight[term], machine.factor[term].ravel(), raw, own]
+    return pa.table([pa.array([v], f.type) for v, f in zip(values, LEARNED)], schema=LEARNED)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from at most ``sample`` labelled rows outside the held-out third; rows with a null id, label or twice-used id are fine (null: unused)."""
+    """Learns from at most ``sample`` labelled rows outside the held-out third; rows with a null id, label or twice-used id are fine (null: unused).
+
+    The sample is dealt to a task for the machine and one a fold; the driver gets the machine's terms and the folds' log odds.
+    """
     known = only(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic in (0, 1)")
     chosen = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample has at most ``sample`` rows of two numbers, so it can be broadcast.
-    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", terms(F.col("text")).alias("terms"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    lists = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("terms")] if rows.num_rows else []
-    toxic = rows.column("toxic").to_numpy().astype(float)
-    del rows
-    pa.default_memory_pool().release_unused()
-    return fit(lists, toxic)
+    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", terms(F.col("text")).alias("terms"), "toxic")
+    dealt = rows.select("*", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("part"))
+    found = sorted(dealt.groupBy("part").applyInArrow(learned, "part int, bias double, term array<int>, weight array<float>, factor array<float>, raw array<double>, toxic array<double>").toArrow().to_pylist(), key=lambda r: r["part"])
+    machine = constant(0)
+    if not found:
+        return machine
+    term, weight, factor = np.array(found[-1]["term"], np.int64), machine.weight, machine.factor
+    weight[term], factor[term] = found[-1]["weight"], np.array(found[-1]["factor"], np.float32).reshape(-1, FACTORS)
+    raw, own = (np.concatenate([np.array(r[c], float) for r in found[:FOLDS]]) for c in ("raw", "toxic"))
+    return settled(Machine(found[-1]["bias"], weight, factor), raw, own)
 
 
 def scored(docs: DataFrame, machine: Machine, id_kind: str = "bigint") -> DataFrame:
