@@ -79,3 +79,15 @@ def test_nothing_to_read(followed):
     followed.write("a.jsonl", b"x\n")
     followed.step()
     assert followed.kept() == followed.batch() == [("a.jsonl", 0, "x")]
+
+
+def test_pieces_of_large_stores_share_tasks():
+    new = {f"f{k:02}": [1_000_000 + k, 0, 0, "", False] for k in range(20)}
+    for most, tasks in ((1 << 16, 320), (1 << 10, 1100)):
+        found = follow.pieces({}, new, most)
+        assert len(found) <= tasks
+        parts = [p for x in found for p in x.value]
+        assert max(p[4] - p[3] for p in parts) <= most
+        for path, (size, *_) in new.items():
+            own = [(low, high) for at, _, _, low, high in parts if at == path]
+            assert own[0][0] == 0 and own[-1][1] == size and all(a[1] == b[0] for a, b in zip(own, own[1:]))

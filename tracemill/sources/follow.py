@@ -25,6 +25,8 @@ SCHEMA = "source string, generation bigint, kind string, at bigint, line string"
 ARROW = pa.schema([("source", pa.string()), ("generation", pa.int64()), ("kind", pa.string()), ("at", pa.int64()), ("line", pa.string())])
 #: Bytes that one task reads, that are looked through at once for a line's begin, and that tell a rewritten file at either end.
 PIECE, BACK, HEAD, TAIL = 64 << 20, 1 << 16, 256, 64
+#: Tasks that pieces are dealt to where there are more of them: small pieces of a large store share tasks.
+TASKS = 1000
 #: Rows of a batch that a task hands over.
 ROWS = 5000
 
@@ -73,7 +75,7 @@ def planned(store: pafs.FileSystem, root: str, glob: str, old: dict) -> dict:
 
 
 def pieces(old: dict, new: dict, most: int) -> list[Pieces]:
-    """What stands in ``new`` and not in ``old``, cut to parts of ``most`` bytes and put together where they are small."""
+    """What stands in ``new`` and not in ``old``, cut to parts of ``most`` bytes and put together where they are small or more than ``TASKS``."""
     parts = []
     for path, (size, _, generation, _, gone) in sorted(new.items()):
         was = old.get(path)
@@ -85,9 +87,10 @@ def pieces(old: dict, new: dict, most: int) -> list[Pieces]:
         if was and was[2] != generation:
             parts.append((path, generation, "reset", 0, 0))
         parts += [(path, generation, "line", low, min(size, low + most)) for low in range(begin, size, most)]
+    share = max(most, sum(p[4] - p[3] for p in parts) // TASKS)
     out, held = [], 0
     for p in parts:
-        if not out or held + p[4] - p[3] > most or len(out[-1].value) >= 10_000:
+        if not out or held + p[4] - p[3] > share or len(out[-1].value) >= 10_000:
             out.append(Pieces([]))
             held = 0
         out[-1].value.append(p)
