@@ -192,3 +192,41 @@ def test_no_link_of_a_mixed_bucket_is_lost(spark, monkeypatch):
     want = {x: k // 2 for k, x in enumerate(couples)}
     got = {r["norm"]: r["root"] for r in hashed.join(roots, F.col("h") == F.col("node")).collect()}
     assert n == 60 and len({(want[x], r) for x, r in got.items()}) == 30 == len(set(got.values()))
+
+
+def test_values_of_a_fingerprint_are_computed_once(spark):
+    """Each of five hashes of eight blocks is fetched by one expression, besides those of runs of words."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        keys = lines.keyed(lines.lines_of(spark.createDataFrame([(1, "one line")], "doc_id bigint, text string")))
+        plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("get(") <= lines.BLOCKS * lines.CAP + lines.RUN
+
+
+def test_separators_of_all_kinds(spark):
+    text = "  A--b\u00a0\u00c9t\u00e9   \u0663x\t\u4e2d \n _ \n\u00b2 \u00bd\U0001f600q\u01c5 \r"
+    got = {r["line"]: r["norm"] for r in lines.lines_of(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()}
+    assert got == {k: plain_norm(x) for k, x in enumerate(text.split("\n")) if plain_norm(x)}
+
+
+def test_similar_lines_by_brute_force(spark, monkeypatch):
+    """Edits at the ends, in the middle and all over, short and long lines; and with so few letters that most stand for several words."""
+    rng, pairs = random.Random(4), []
+    words = ["".join(rng.choice("aeioustn\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    for n in (1, 2, 5, 12, 30, 128, 129, 150):
+        for share in (0, 0.05, 0.15, 0.2, 0.25, 0.5, 1):
+            a = [rng.choice(words) for _ in range(n)]
+            for at in (0, n // 2, n):
+                b = a[:at] + [rng.choice(words) for _ in range(int(n * share))] + a[at + int(n * share) * rng.randrange(2) :]
+                pairs.append((" ".join(a), " ".join(b)))
+            b = [rng.choice(words) if rng.random() < share else w for w in a]
+            pairs.append((" ".join(a), " ".join(b)))
+    pairs = [(a, b) for a, b in pairs if a and b]
+    want = [similar(a, b) for a, b in pairs]
+    assert 20 < sum(want) < len(want) - 20
+    made = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, na string, nb string")
+    for codes in (1 << 20, 4):
+        monkeypatch.setattr(lines, "CODES", codes)
+        assert [r["s"] for r in made.select("i", F.expr(lines.similar()).alias("s")).orderBy("i").collect()] == want

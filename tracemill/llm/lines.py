@@ -34,13 +34,15 @@ BLOCKS, CAP, ONE, TWO, SHORT, REST, SIMILARITY = 8, 5, 24, 16, 12, 6, 0.8
 LONG, RUN, CAP_LONG = 128, 3, 4
 #: Members of a mixed bucket in a block, and pairs a task, where what is left of it is compared in full.
 BLOCK, PAIRS = 256, 20_000
-#: What parts words: all but letters, digits and line ends.
-APART = "[^0-9a-z\\p{L}\\p{N}\n]"
+#: Letters that stand for words by hash, a power of two; a million are above U+FFFF.
+CODES = 1 << 20
+#: What parts words, but for spaces: all but letters, digits and line ends. Characters up to U+00FF stand one by one, as Java looks those up in a table.
+APART = "[^ \n" + "".join(c for c in map(chr, range(256)) if c.isalnum() and c == c.lower()) + "\\p{L}\\p{N}]+"
 
 
-def normalised(text: Column) -> Column:
-    """A text with its line ends, each line normalised but for a space at either end; a lone space between words is not touched."""
-    return F.regexp_replace(F.lower(text), f"(?: {APART}|(?! ){APART}){APART}*+", " ")
+def spaced(text: Column) -> Column:
+    """A text in lower case with its line ends and its words, which are parted by one space or several."""
+    return F.regexp_replace(F.lower(text), APART, " ")
 
 
 def added(a: str, b: str, c: str) -> tuple[str, str]:
@@ -48,72 +50,85 @@ def added(a: str, b: str, c: str) -> tuple[str, str]:
     return f"({a} ^ {b} ^ {c})", f"(({a} & {b}) | ({c} & ({a} ^ {b})))"
 
 
-def simhash(k: int) -> str:
-    """SQL for the SimHash of block ``k``, up to five hashes: a bit is set if over half have it; none: zero. All 64 counters are added at once."""
-    x = [f"coalesce(get(get(bs, {k}), {i}), 0L)" for i in range(CAP)]
-    a, b = added(*x[:3])
-    one, c = added(a, *x[3:])
-    two, four = f"({b} ^ {c})", f"({b} & {c})"
-    # A count over half of n carries out of three planes when 7 less half of n is added to it; the upper plane of that is all ones.
-    bit = [f"(-cast(shiftright(7 - size(get(bs, {k})) div 2, {p}) & 1 as bigint))" for p in range(2)]
-    carry = f"({one} & {bit[0]})"
-    carry = f"(({two} & {bit[1]}) | ({carry} & ({two} | {bit[1]})))"
-    return f"({four} | {carry})"
-
-
 def let(name: str, value: str, body: str) -> str:
     """SQL for ``body`` with ``name`` bound to a value that is computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def keyed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``keys``, the buckets of each normalised line as an array of hashes, among them maybe a null.
+    """``lines`` without their words ``ws``, with ``keys``, the buckets of each normalised line as an array of hashes, among them maybe a null.
 
     A feature's hash has its block in the upper three bits and its letters in the lowest four. Sorted with a mark
-    before each block, the hashes of a block stand together.
+    before each block, the hashes of a block stand together. A step's values are columns of the next, so that each is
+    computed once. A lambda function in each step keeps Spark from making one method of all, which Java would interpret.
     """
-    own = lines.columns
-    marks = [-(1 << 63) + (k << 61) for k in range(1, BLOCKS)]
+    own = [c for c in lines.columns if c != "ws"]
+    each = lambda *of: [F.expr(e.format(k=k)).alias(f"{c}{k}") for k in range(BLOCKS) for c, e in of]
+    kept = lambda *of: [f"{c}{k}" for k in range(BLOCKS) for c in of]
     weight = "(least(length(w_), 15) - 1)"
     word = "(xxhash64(w_) & -16L) | least(length(w_), 15)"
     run = ", ".join(f"get(hw_, i_ + {k})" for k in range(RUN))
     runs = let("hw_", "transform(ws, w_ -> xxhash64(w_))", f"transform(sequence(0, size(hw_) - {RUN}), i_ -> xxhash64({run}) | 15L)")
-    hashed = lines.select(*own, F.split("norm", " ").alias("ws")).select("*", F.expr(f"if(size(ws) > {LONG}, {runs}, transform(ws, w_ -> {word}))").alias("hs"), F.expr(f"if(size(ws) > {LONG}, {CAP_LONG}, {CAP})").alias("cap"))
-    ordered = hashed.select(*own, "ws", "cap", F.sort_array(F.concat(F.array_distinct("hs"), F.array(*map(F.lit, marks)))).alias("s"))
-    # A block's hashes are between p<k> and p<k + 1>, counted from one.
-    placed = ordered.select("*", F.lit(0).alias("p0"), *[F.expr(f"cast(array_position(s, {m}L) as int)").alias(f"p{k}") for k, m in enumerate(marks, 1)], F.expr("size(s) + 1").alias(f"p{BLOCKS}"))
-    dealt = placed.select(*own, "ws", F.expr("array(" + ", ".join(f"slice(s, p{k} + 1, least(cap, p{k + 1} - 1 - p{k}))" for k in range(BLOCKS)) + ")").alias("bs"))
-    # A lambda function in each of the next two keeps Spark from making one method of them, which Java would interpret.
     whole = f"if(size(ws) <= {SHORT}, aggregate(ws, 0, (s_, w_) -> s_ + {weight}), 0)"
-    weigh = lambda k: " + ".join(f"(coalesce(get(get(bs, {k}), {i}), 0L) & 15)" for i in range(CAP)) + f" - size(get(bs, {k}))"
-    prints = dealt.select(*own, "ws", F.expr(whole).alias("sum"), *[F.expr(e).alias(f"{c}{k}") for k in range(BLOCKS) for c, e in (("n", f"size(get(bs, {k}))"), ("w", weigh(k)), ("v", simhash(k)))])
-    one = [f"if(w{k} >= {ONE}, xxhash64({k}, n{k}, v{k}), null)" for k in range(BLOCKS)]
-    two = [f"if(w{j} > 0 and w{k} > 0 and w{j} < {ONE} and w{k} < {ONE} and w{j} + w{k} >= {TWO}, xxhash64({j}, n{j}, v{j}, {k}, n{k}, v{k}), null)" for j, k in combinations(range(BLOCKS), 2)]
     rest = f"transform(ws, (w_, i_) -> if(sum - {weight} >= {REST}, xxhash64(array_join(filter(ws, (x_, j_) -> j_ <> i_), ' ')), null))"
     short = f"if(size(ws) between 2 and {SHORT}, array_append({rest}, h), array())"
-    return prints.select(*own, F.expr(f"array_distinct(concat(array({', '.join(one + two)}), {short}))").alias("keys"))
+    summed = lines.select("*", F.expr(whole).alias("sum"))
+    hashed = summed.select(*own, F.expr(short).alias("short"), F.expr(f"if(size(ws) > {LONG}, {runs}, transform(ws, w_ -> {word}))").alias("hs"), F.expr(f"if(size(ws) > {LONG}, {CAP_LONG}, {CAP})").alias("cap"))
+    marks = [-(1 << 63) + (k << 61) for k in range(1, BLOCKS)]
+    own += [F.expr("filter(short, h_ -> true)").alias("short")]
+    ordered = hashed.select(*own, "cap", F.sort_array(F.concat(F.array_distinct("hs"), F.array(*map(F.lit, marks)))).alias("s"))
+    # A block's hashes are between p<k> and p<k + 1>, counted from one; n<k> of them count, x<k>_<i> in the end.
+    placed = ordered.select(*own, "cap", "s", F.lit(0).alias("p0"), *[F.expr(f"cast(array_position(s, {m}L) as int)").alias(f"p{k}") for k, m in enumerate(marks, 1)], F.expr("size(s) + 1").alias(f"p{BLOCKS}"))
+    counted = placed.select(*own, "s", *kept("p"), *[F.expr(f"least(cap, p{k + 1} - 1 - p{k})").alias(f"n{k}") for k in range(BLOCKS)])
+    dealt = counted.select(*own, *kept("n"), *each(*[(f"x{i}_", f"if(n{{k}} > {i}, coalesce(get(s, p{{k}} + {i}), 0L), 0L)") for i in range(CAP)]))
+    # SimHash: a bit is set if over half of up to five hashes have it; none: zero. All 64 counters are added at once, as planes of bits.
+    x = [f"x{i}_{{k}}" for i in range(CAP)]
+    a, b = added(*x[:3])
+    weigh = " + ".join(f"cast({e} & 15 as int)" for e in x) + " - n{k}"
+    first = dealt.select(*own, *kept("n", "x3_", "x4_"), *each(("w", weigh), ("a", a), ("b", b)))
+    a, b = added("a{k}", *x[3:])
+    second = first.select(*own, *kept("n", "w", "b"), *each(("one", a), ("c", b)))
+    # A count over half of n carries out of three planes when 7 less half of n is added to it; the upper plane of that is all ones.
+    bit = [f"(-cast(shiftright(7 - shiftright(n{{k}}, 1), {p}) & 1 as bigint))" for p in range(2)]
+    third = second.select(*own, *kept("n", "w"), *each(("two", "b{k} ^ c{k}"), ("four", "b{k} & c{k}"), ("carry", f"one{{k}} & {bit[0]}"), ("bit", bit[1])))
+    prints = third.select(*own, *kept("n", "w"), *each(("v", "four{k} | (two{k} & bit{k}) | (carry{k} & (two{k} | bit{k}))")))
+    one = [f"if(w{k} >= {ONE}, xxhash64({k}, n{k}, v{k}), null)" for k in range(BLOCKS)]
+    two = [f"if(w{j} > 0 and w{k} > 0 and w{j} < {ONE} and w{k} < {ONE} and w{j} + w{k} >= {TWO}, xxhash64({j}, n{j}, v{j}, {k}, n{k}, v{k}), null)" for j, k in combinations(range(BLOCKS), 2)]
+    return prints.select(*own[:-1], F.expr(f"array_distinct(concat(array({', '.join(one + two)}), short))").alias("keys"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line, h, norm) of every line that has a letter or digit; t is a hash of the document's text, h one of the line."""
+    """(doc_id, t, line, h, norm, ws) of every line that has a letter or digit; t is a hash of the document's text, h one of the line, ws its words."""
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = whole.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("line", "raw"))
-    return each.select("doc_id", "t", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
+    each = whole.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(spaced(F.col("text")), "\n", -1)).alias("line", "raw"))
+    words = each.where("trim(raw) <> ''").select("doc_id", "t", "line", F.array_remove(F.split("raw", " "), "").alias("ws"))
+    return words.select("doc_id", "t", "line", F.array_join("ws", " ").alias("norm"), "ws").withColumn("h", F.xxhash64("norm"))
 
 
 def similar() -> str:
     """SQL for whether the whole normalised lines ``na`` and ``nb`` have the edit similarity asked for."""
     of = lambda n: f"cast(floor({1 - SIMILARITY:.6f} * {n} + 1e-9) as int)"
-    # Word by word is never less than the edit distance, and settles most pairs at a fraction of its cost; the narrow band most others.
-    by_word = "size(wa_) = size(wb_) and aggregate(zip_with(wa_, wb_, (x_, y_) -> if(x_ = y_, 0, greatest(length(x_), length(y_)))), 0, (s_, d_) -> s_ + d_) <= most_"
-    # With a letter for each word: so many edits of words, at a word's greatest length and a space, are never less either.
-    letters = "decode(unhex(array_join(transform({0}, w_ -> lpad(hex(array_position(ds_, w_) + 255), 4, '0')), '')), 'UTF-16BE')"
-    runs = f"levenshtein({letters.format('wa_')}, {letters.format('wb_')}, {{0}}) >= 0"
-    by_run = f"size(wa_) > {SHORT} and {let('ds_', 'array_distinct(concat(wa_, wb_))', runs.format('cast(most_ div (1 + array_max(transform(ds_, d_ -> length(d_)))) as int)'))}"
-    near = "levenshtein(na, nb, least(most_, cast(most_ div 12 + 8 as int))) >= 0 or levenshtein(na, nb, most_) >= 0"
-    by_letter = let("most_", of("greatest(length(na), length(nb))"), f"abs(length(na) - length(nb)) <= most_ and (({by_word}) or ({by_run}) or {near})")
-    long = let("ds_", "array_distinct(concat(wa_, wb_))", f"if(size(ds_) < 50000, {runs.format(of('greatest(size(wa_), size(wb_))'))}, levenshtein(na, nb, {of('greatest(length(na), length(nb))')}) >= 0)")
-    whole = f"if(greatest(size(wa_), size(wb_)) > {LONG}, {long}, {by_letter})"
+    # Words that both begin or both end with change no distance; with a space after each word that holds for letters too.
+    alike = lambda a, b: f"cast(array_position(zip_with({a}, {b}, (x_, y_) -> x_ <=> y_), false) as int) - 1"
+    inner = lambda w, body: let(f"m{w}_", f"slice(w{w}_, p_ + 1, size(w{w}_) - p_ - q_)", body)
+    cut = lambda body: let("p_", alike("wa_", "wb_"), let("q_", f"least({alike('reverse(wa_)', 'reverse(wb_)')}, least(size(wa_), size(wb_)) - p_)", inner("a", inner("b", body))))
+    # Letters of words told one by one, or so many edits of words at a word's greatest length and a space, are never less
+    # than the edit distance; these settle most pairs at a fraction of its cost, a narrow band most others.
+    letters = "decode(unhex(array_join(transform({0}, w_ -> lpad(hex({1}), 8, '0')), '')), 'UTF-32')"
+    hashed, placed = f"65536 + (xxhash64(w_) & {CODES - 1})", "array_position(ds_, w_) + 65535"
+    runs = lambda e, most: f"levenshtein({letters.format('ma_', e)}, {letters.format('mb_', e)}, {most}) >= 0"
+    by_word = "size(ma_) = size(mb_) and aggregate(zip_with(ma_, mb_, (x_, y_) -> if(x_ = y_, 0, greatest(length(x_), length(y_)))), 0, (s_, d_) -> s_ + d_) <= most_"
+    by_edits = let("ds_", "array_distinct(concat(ma_, mb_))", runs(placed, "cast(most_ div (1 + array_max(transform(ds_, d_ -> length(d_)))) as int)"))
+    near = f"greatest(length(sa_), length(sb_)) <= most_ or ({by_word}) or {by_edits} or levenshtein(sa_, sb_, least(most_, cast(most_ div 12 + 8 as int))) >= 0 or levenshtein(sa_, sb_, most_) >= 0"
+    spelt = let("sa_", "array_join(array_append(ma_, ''), ' ')", let("sb_", "array_join(array_append(mb_, ''), ' ')", near))
+    by_letter = let("most_", of("greatest(length(na), length(nb))"), f"abs(length(na) - length(nb)) <= most_ and {cut(spelt)}")
+    # Word by word, with a letter for each word. One by hash may stand for several words, which makes lines no less alike; only then it is told by place.
+    coded = let("ds_", "array_distinct(concat(ma_, mb_))", f"{runs(hashed, 'most_')} and (size(array_distinct(transform(ds_, w_ -> {hashed}))) = size(ds_) or {runs(placed, 'most_')})")
+    run = cut(f"greatest(size(ma_), size(mb_)) <= most_ or (greatest(size(array_except(ma_, mb_)), size(array_except(mb_, ma_))) <= most_ and {coded})")
+    by_run = let("most_", of("greatest(size(wa_), size(wb_))"), f"abs(size(wa_) - size(wb_)) <= most_ and {run}")
+    few = "size(wa_) + size(wb_) < 50000 or size(array_distinct(concat(wa_, wb_))) < 50000"
+    long = f"if({few}, {by_run}, levenshtein(na, nb, {of('greatest(length(na), length(nb))')}) >= 0)"
+    whole = f"na = nb or if(greatest(size(wa_), size(wb_)) > {LONG}, {long}, {by_letter})"
     return let("wa_", "split(na, ' ')", let("wb_", "split(nb, ' ')", whole))
 
 
