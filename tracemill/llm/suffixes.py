@@ -4,7 +4,9 @@
 column to the first. Three columns describe the sorted suffixes so far: the symbol before each (the collection's
 Burrows-Wheeler transform), the prefix each shares with the one above it, and its string. They live in files that each
 round reads and writes once from front to back. Documents are cut into strings by content-chosen anchors, so that rounds
-are few however long a document is and equal 50-byte strings always meet; Spark deals the strings out by anchor.
+are few however long a document is and equal 50-byte strings always meet; Spark deals the strings out by anchor. What of
+a string no other document can share by the hashes of its windows is cut off before, so that the strings around a passage
+that very many documents have are few.
 """
 
 from __future__ import annotations
@@ -25,27 +27,30 @@ from .common import table
 #: Matches have WINDOW bytes; of the SPAN strings of K bytes in a window the one with the least hash is its anchor.
 WINDOW, K = 50, 20
 SPAN = WINDOW - K + 1
-#: Shuffled parts that anchors are dealt to, for each task that reads the input, and at least.
-BUCKETS_EACH, BUCKETS = 16, 1024
+#: Shuffled parts that anchors are dealt to at least; there are as many as tasks that read the input if those are more. A
+#: batch of documents has a row for each, so several for each task would make the rows grow with the square of the input.
+BUCKETS = 1024
 #: Strings in one column-wise construction, unless one anchor has more.
 BATCH = 5_000
 #: Compressed bytes of whole buckets that are settled together, and ranges that a task keeps before it hands them on.
 HELD, RANGES = 3_000_000, 1_000_000
+#: Bytes of strings that are taken apart at once, and whose windows are hashed at once; more only if one anchor has more.
+BLOCK, PIECE = 10_000_000, 500_000
 _MULT, _ALL64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_POWER = {n: np.uint64(pow(_MULT, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each K-byte string of ``data``, by doubling: 1, 2, 4, 8, 16 bytes, then 16 + 4."""
     if len(data) < K:
         return np.empty(0, np.uint64)
-    power = [pow(_MULT, n, 1 << 64) for n in range(K + 1)]
     part, four = data.astype(np.uint64) + np.uint64(1), None
     for width in (1, 2, 4, 8):
         if width == 4:
             four = part
-        part = part[:-width] * np.uint64(power[width]) + part[width:]
+        part = part[:-width] * _POWER[width] + part[width:]
     n = len(data) - K + 1
-    out = part[:n] * np.uint64(power[4]) + four[16 : 16 + n]
+    out = part[:n] * _POWER[4] + four[16 : 16 + n]
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
@@ -90,6 +95,12 @@ def common_prefixes(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.n
     np.zeros(m, np.uint16).tofile(names["prefix"])
     np.arange(m, dtype=np.int32).tofile(names["string"])
     np.zeros(m, np.uint16).tofile(names["length"])
+
+    def rewrite(name: str, values: np.ndarray) -> None:
+        """Columns only grow and are written over: ext4 sends a file that is emptied first to the disk when it is closed."""
+        with open(names[name], "r+b") as file:
+            values.tofile(file)
+
     live, place = np.arange(m), np.arange(m)  # strings that still grow, and where their longest suffix stands
     for column in range(int(lengths.max(initial=0))):
         go = lengths[live] > column
@@ -140,10 +151,10 @@ def common_prefixes(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.n
         longer = put("prefix", np.uint16, up, prefix)
         fix = spot[has_below] + 1
         longer[fix] = np.where(old[fix], down[has_below], longer[fix])
-        put("symbol", np.int16, 0, symbol).tofile(names["symbol"])
-        longer.tofile(names["prefix"])
-        put("string", np.int32, live.astype(np.int32)).tofile(names["string"])
-        put("length", np.uint16, column + 1).tofile(names["length"])
+        rewrite("symbol", put("symbol", np.int16, 0, symbol))
+        rewrite("prefix", longer)
+        rewrite("string", put("string", np.int32, live.astype(np.int32)))
+        rewrite("length", put("length", np.uint16, column + 1))
         place = spot
     return np.fromfile(names["string"], np.int32), np.fromfile(names["length"], np.uint16), np.fromfile(names["prefix"], np.uint16)
 
@@ -354,63 +365,123 @@ def hash_of(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _suspects(content: list[bytes], owners: np.ndarray) -> np.ndarray:
-    """Numbers of the strings that share a window's hash with a string of another owner; the construction then decides."""
-    data = np.frombuffer(b"".join(content), np.uint8)
-    sizes = np.fromiter(map(len, content), np.int64, len(content))
-    part = data.astype(np.uint64) + np.uint64(1)
-    pieces = {}
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window of ``data``, by doubling: 1, 2, 4, 8, 16, 32 bytes, then 32 + 16 + 2."""
+    part, pieces = data.astype(np.uint64) + np.uint64(1), {}
     for width in (1, 2, 4, 8, 16):
         pieces[width] = part
-        part = part[:-width] * np.uint64(pow(_MULT, width, 1 << 64)) + part[width:]
+        part = part[:-width] * _POWER[width] + part[width:]
     n = len(data) - WINDOW + 1
-    h = (part[:n] * np.uint64(pow(_MULT, 16, 1 << 64)) + pieces[16][32 : 32 + n]) * np.uint64(pow(_MULT, 2, 1 << 64)) + pieces[2][48 : 48 + n]
-    who = np.repeat(np.arange(len(content)), sizes)[:n]
-    inside = np.arange(n) + WINDOW <= np.cumsum(sizes)[who]
-    h, who = h[inside], who[inside]
-    order = np.argsort(h, kind="stable")
-    h, who = h[order], who[order]
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    low, high = np.minimum.reduceat(owners[who], start), np.maximum.reduceat(owners[who], start)
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-    return np.unique(who[(low < high)[group]])
+    return (part[:n] * _POWER[16] + pieces[16][32 : 32 + n]) * _POWER[2] + pieces[2][48 : 48 + n]
+
+
+def _groups(key: np.ndarray, weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows with whole runs of equal keys, ``most`` of weight together unless one key has more."""
+    if not len(key):
+        return
+    edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    so_far = np.append(0, np.cumsum(weight))[edge]
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(so_far, so_far[i] + most, "right")) - 1)
+        yield int(edge[i]), int(edge[j])
+        i = j
+
+
+def shared_stretches(content: list[bytes], owners: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, stop): the bytes under consecutive windows whose hash a string of another owner has too.
+
+    Strings are of WINDOW bytes at least and come in order of their anchors' keys; only those of one anchor can meet.
+    """
+    sizes, out = np.fromiter(map(len, content), np.int64, len(content)), []
+    for a, b in _groups(key, sizes, PIECE):
+        hashes, strings, places = [], [], []
+        for i, j in _groups(np.arange(a, b), sizes[a:b], PIECE):
+            data = np.frombuffer(b"".join(content[a + i : a + j]), np.uint8)
+            own = sizes[a + i : a + j] - WINDOW + 1
+            who = np.repeat(np.arange(j - i), own)
+            place = np.arange(len(who)) - np.repeat(np.cumsum(own) - own, own)
+            hashes.append(window_hashes(data)[place + (np.cumsum(sizes[a + i : a + j]) - sizes[a + i : a + j])[who]])
+            strings.append((who + (a + i)).astype(np.int32))
+            places.append(place.astype(np.int32))
+        h, who, place = np.concatenate(hashes), np.concatenate(strings), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        owner = owners[who[order]]
+        told = np.minimum.reduceat(owner, start) < np.maximum.reduceat(owner, start)
+        use = np.empty(len(h), bool)
+        use[order] = np.repeat(told, np.diff(np.append(start, len(h))))
+        if not use.any():
+            continue
+        who, place = who[use], place[use]
+        lead = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)))
+        out.append((who[lead], place[lead], place[np.append(lead[1:], len(who)) - 1] + WINDOW))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([none, *c]) for c in zip(*out)) if out else (none, none, none)
+
+
+def _classes(strings: Iterator[bytes], owners: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different strings, each string's number among them, the least owner of each)."""
+    number: dict[bytes, int] = {}
+    cls = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(owners))
+    least = np.full(len(number), NO_ID)
+    np.minimum.at(least, cls, owners)
+    return list(number), cls, least
+
+
+def lost_ranges(content: list[bytes], owners: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, stop): bytes of different strings, in order of their keys, that one of a smaller owner has too.
+
+    Their shared stretches are taken for themselves. Equal ones are the least owner's; of the different ones that share a
+    window's hash with one of another owner the construction finds the windows.
+    """
+    who, a, b = shared_stretches(content, owners, key)
+    parts, cls, least = _classes((content[i][x:y] for i, x, y in zip(who.tolist(), a.tolist(), b.tolist())), owners[who])
+    late = owners[who] > least[cls]
+    lost = [(who[late], a[late], b[late])]
+    of = np.empty(len(parts), np.uint64)
+    of[cls] = key[who]
+    sus = np.unique(shared_stretches(parts, least, of)[0])
+    string, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in _groups(of[sus], np.ones(len(sus), np.int64), BATCH):
+        with tempfile.TemporaryDirectory() as folder:
+            found = earlier_elsewhere([parts[x] for x in sus[i:j]], least[sus[i:j]], folder)
+        string.append(np.repeat(sus[i:j], list(map(len, found))))
+        start += found
+    string, start = np.concatenate(string), np.concatenate(start)
+    own = np.flatnonzero(~late)
+    row, at = _matches(cls[own], string)
+    lost.append((who[own][row], a[own][row] + start[at], a[own][row] + start[at] + WINDOW))
+    return tuple(np.concatenate(c) for c in zip(*lost))
+
+
+def _matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of equal numbers."""
+    order = np.argsort(right, kind="stable")
+    low, high = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    n = high - low
+    return np.repeat(np.arange(len(left)), n), order[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
 
 
 def _compared(buckets: int):
     """(g, body): byte ranges that documents lose, packed by the documents' buckets, from all strings of a bucket."""
 
     def settle(heads: list[bytes], bodies: list[bytes]) -> tuple[np.ndarray, ...]:
-        parts = [_unpack(h, "<i8", "<i8", "<i8", "<u8", "<i2") for h in heads]
-        doc, t, start, key, size = (np.concatenate(c) for c in zip(*parts))
+        doc, t, start, key, size = (np.concatenate(c) for c in zip(*(_unpack(h, "<i8", "<i8", "<i8", "<u8", "<i2") for h in heads)))
         size = size.astype(np.int64)
         blob = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in bodies)
-        stop = np.cumsum(size)
-        number: dict[bytes, int] = {}
-        cls = np.fromiter((number.setdefault(blob[b - n : b], len(number)) for b, n in zip(stop.tolist(), size.tolist())), np.int64, len(size))
-        content = list(number)
-        least = np.full(len(content), NO_ID)
-        np.minimum.at(least, cls, doc)
-        late = doc > least[cls]
-        lost = [(doc[late], t[late], start[late], (start + size)[late])]
-        of = np.empty(len(content), np.uint64)
-        of[cls] = key
-        sus = _suspects(content, least)
-        sus = sus[np.argsort(of[sus], kind="stable")]
-        hits: dict[int, np.ndarray] = {}
-        edge = np.append(np.flatnonzero(np.append(True, of[sus][1:] != of[sus][:-1])), len(sus)) if len(sus) else np.zeros(1, np.int64)
-        a = 0
-        while a < len(sus):
-            b = int(edge[np.searchsorted(edge, min(a + BATCH, len(sus)), "right") - 1])
-            b = b if b > a else int(edge[np.searchsorted(edge, a, "right")])
-            with tempfile.TemporaryDirectory() as folder:
-                found = earlier_elsewhere([content[i] for i in sus[a:b]], least[sus[a:b]], folder)
-            hits |= {int(i): f for i, f in zip(sus[a:b], found) if len(f)}
-            a = b
-        if hits:
-            own = np.flatnonzero(~late & np.isin(cls, np.fromiter(hits, np.int64, len(hits))))
-            reps = [len(hits[int(cls[i])]) for i in own]
-            at = np.repeat(start[own], reps) + np.concatenate([hits[int(cls[i])] for i in own])
-            lost.append((np.repeat(doc[own], reps), np.repeat(t[own], reps), at, at + WINDOW))
+        stop, order, lost = np.cumsum(size), np.argsort(key, kind="stable"), []
+        for i, j in _groups(key[order], size[order], BLOCK):
+            x = order[i:j]
+            content, cls, least = _classes((blob[b - n : b] for b, n in zip(stop[x].tolist(), size[x].tolist())), doc[x])
+            # Classes are numbered as they come, so in order of their keys.
+            who, a, b = lost_ranges(content, least, key[x][np.unique(cls, return_index=True)[1]])
+            late = doc[x] > least[cls]
+            own = np.flatnonzero(~late)
+            row, at = _matches(cls[own], who)
+            late, own = x[late], x[own][row]
+            lost += [(doc[late], t[late], start[late], (start + size)[late]), (doc[own], t[own], start[own] + a[at], start[own] + b[at])]
         return tuple(np.concatenate(c) for c in zip(*lost))
 
     def told(lost: list[tuple[np.ndarray, ...]]) -> list[tuple]:
@@ -465,7 +536,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     each other. An empty table gives no rows.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    buckets = min(1 << 24, max(BUCKETS, BUCKETS_EACH * own.rdd.getNumPartitions()))
+    buckets = min(1 << 24, max(BUCKETS, own.rdd.getNumPartitions()))
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     repeated = dealt(own.mapInArrow(_offer(buckets), PACKED)).mapInArrow(_repeated, "d bigint, body binary")
     noted = repeated.groupBy("d").agg(F.collect_list("body").alias("bodies"))
