@@ -5,8 +5,7 @@ column to the first. Three columns describe the sorted suffixes so far: the symb
 Burrows-Wheeler transform), the prefix each shares with the one above it, and its string. They live in files that each
 round reads and writes once from front to back. Documents are cut into strings by content-chosen anchors, so that rounds
 are few however long a document is and equal 50-byte strings always meet; Spark deals the strings out by anchor. What of
-a string no other document can share by the hashes of its windows is cut off before, so that the strings around a passage
-that very many documents have are few.
+a string no other document can share by the hashes of its windows is cut off before, and equal stretches go on once.
 """
 
 from __future__ import annotations
